@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarrion.llm.components import listing_groups
+from quarrion.llm.residue import residue
 from quarrion.llm.tokens import round_trip, token_ids
 from quarrion.session import table
 
@@ -10,6 +11,8 @@ QUERIES = {
     "p3_found": lambda s, d: listing_groups(table(s, d, "listings"), table(s, d, "listing_pairs")),
     "p8_ids": lambda s, d: token_ids(table(s, d, "documents")),
     "p8_round_trip": lambda s, d: round_trip(table(s, d, "documents")),
+    "p10_found": lambda s, d: residue(table(s, d, "documents")).select("doc_id").distinct(),
+    "p10_reasons": lambda s, d: residue(table(s, d, "documents")),
 }
 
 SQL = {
