@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarrion.llm.components import listing_groups
+from quarrion.llm.leaks import leaked
 from quarrion.llm.residue import residue
 from quarrion.llm.tokens import round_trip, token_ids
 from quarrion.session import table
@@ -13,6 +14,8 @@ QUERIES = {
     "p8_round_trip": lambda s, d: round_trip(table(s, d, "documents")),
     "p10_found": lambda s, d: residue(table(s, d, "documents")).select("doc_id").distinct(),
     "p10_reasons": lambda s, d: residue(table(s, d, "documents")),
+    "p9_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p9_shares": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")),
 }
 
 SQL = {
