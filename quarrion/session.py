@@ -14,12 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder comes from the session; one of our own is set only where the setting is absent (tests).
+    The folder comes from the session; one of our own is set only where the setting is absent (tests). Constraints are
+    not carried over: through the rounds of an iterative operator they would multiply on the driver.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrion-ckpt-"))
-    return df.checkpoint()
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
