@@ -39,10 +39,13 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
     arcs = step("a", "b").unionByName(step("b", "a"))
     arcs = durable(arcs.join(chain.select(F.col("u").alias("next"), F.lit(True).alias("open")), "next", "left").select("from", "x", "at", "next", "low", F.coalesce("open", F.lit(False)).alias("open")))
     while True:
-        ahead = arcs.select(F.col("from").alias("at"), F.col("x").alias("next"), F.col("at").alias("at2"), F.col("next").alias("next2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
-        moved = arcs.where("open").join(ahead, ["at", "next"]).select("from", "x", F.col("at2").alias("at"), F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"), (~F.col("open2") | (F.col("low2") < F.col("low"))).alias("news"))
-        arcs = durable(arcs.where("not open").withColumn("news", F.lit(False)).unionByName(moved))
-        state = arcs.agg(F.count_if("open").alias("open"), F.count_if("news").alias("news")).first()
+        arcs = arcs.withColumn("news", F.lit(False))
+        for _ in range(2):  # two doublings a round
+            ahead = arcs.select(F.col("from").alias("at"), F.col("x").alias("next"), F.col("at").alias("at2"), F.col("next").alias("next2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+            moved = arcs.where("open").join(ahead, ["at", "next"]).select("from", "x", F.col("at2").alias("at"), F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"), (F.col("news") | ~F.col("open2") | (F.col("low2") < F.col("low"))).alias("news"))
+            arcs = arcs.where("not open").unionByName(moved)
+        arcs = durable(arcs)
+        state = arcs.agg(F.max("open").alias("open"), F.max("news").alias("news")).first()
         arcs = arcs.drop("news")
         if not state["open"] or not state["news"]:
             break
