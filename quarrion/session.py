@@ -11,22 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, broadcast: bool = True) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder comes from the session; one of our own is set only where the setting is absent (tests). Constraints are
-    not carried over: through the rounds of an iterative operator they would multiply on the driver.
+    The folder comes from the session; one of our own is set only where the setting is absent (tests). Neither
+    constraints nor size estimates are carried over: through the rounds of an iterative operator the ones multiply and
+    the others square on the driver, to numbers of millions of digits. Adaptive execution knows the true sizes. Without
+    ``broadcast`` no join below is broadcast: the driver keeps some megabytes of each.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrion-ckpt-"))
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
+    conf, own = df.sparkSession.conf, {"spark.sql.constraintPropagation.enabled": "false"}
+    if not broadcast:
+        own |= {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
-        return df.checkpoint()
+        kept = df.checkpoint()
+        jvm = kept.sparkSession._jsparkSession
+        return DataFrame(jvm.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), kept.sparkSession)
     finally:
-        conf.set(name, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
