@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarrion.session import durable
+from quarrion import session
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A round's result, without broadcasts and in no more partitions than a shuffle has: unions would add theirs up."""
+    return session.durable(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), broadcast=False)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

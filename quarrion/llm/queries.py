@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarrion.llm.addresses import same_location
 from quarrion.llm.components import listing_groups
 from quarrion.llm.leaks import leaked
 from quarrion.llm.residue import residue
@@ -16,6 +17,7 @@ QUERIES = {
     "p10_reasons": lambda s, d: residue(table(s, d, "documents")),
     "p9_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p9_shares": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p7_found": lambda s, d: same_location({n: table(s, d, n) for n in ("tx_directory", "state_registry", "dealerships")}, table(s, d, "zip_coords")),
 }
 
 SQL = {
