@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from quarrion.llm.addresses import same_location
 from quarrion.llm.components import listing_groups
+from quarrion.llm.entities import matched
 from quarrion.llm.leaks import leaked
+from quarrion.llm.products import offered_versions
 from quarrion.llm.residue import residue
 from quarrion.llm.tokens import round_trip, token_ids
 from quarrion.session import table
 
+SOURCES = ("tx_directory", "state_registry", "dealerships")
+
+
+def _entities(s, d):
+    return matched({n: table(s, d, n) for n in SOURCES}, table(s, d, "osm_sample"), table(s, d, "zip_coords"))
+
+
 QUERIES = {
+    "p1_found": lambda s, d: _entities(s, d).select("key_a", "key_b"),
+    "p1_confidence": lambda s, d: _entities(s, d).select("key_a", "key_b", "confidence"),
     "p3_found": lambda s, d: listing_groups(table(s, d, "listings"), table(s, d, "listing_pairs")),
     "p8_ids": lambda s, d: token_ids(table(s, d, "documents")),
     "p8_round_trip": lambda s, d: round_trip(table(s, d, "documents")),
@@ -17,7 +28,8 @@ QUERIES = {
     "p10_reasons": lambda s, d: residue(table(s, d, "documents")),
     "p9_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p9_shares": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "eval_items")),
-    "p7_found": lambda s, d: same_location({n: table(s, d, n) for n in ("tx_directory", "state_registry", "dealerships")}, table(s, d, "zip_coords")),
+    "p5_found": lambda s, d: offered_versions(table(s, d, "listings"), table(s, d, "vehicle_versions")),
+    "p7_found": lambda s, d: same_location({n: table(s, d, n) for n in SOURCES}, table(s, d, "zip_coords")),
 }
 
 SQL = {
