@@ -131,21 +131,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def listing_links(listings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v): links of listings. Equal group ids or vins link through a vertex of their own, of negative number, so that
-    a value that very many listings share makes a star and never all its pairs.
+    """(u, v): links of listings. A group id or vin links each of its listings to the least of them, a star and never all
+    pairs; a value of one listing links nothing and is dropped before the graph is built.
 
     Pairs: the latest decision on two listings counts in either order (ties: the greatest pair_id). A pair with a null
     id or a listing paired with itself links nothing. Vins: blanks and hyphens removed, upper case, 17 characters.
+    Values are compared by 64 bits of hash.
     """
     low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
     decided = pairs.where("id_a is not null and id_b is not null and id_a <> id_b").groupBy(low.alias("u"), high.alias("v"))
     by_pair = decided.agg(F.max(F.struct("decided_at", "pair_id", "is_match")).alias("last")).where("last.is_match = 1").select("u", "v")
     vin = F.upper(F.regexp_replace("vin", r"[\s\-]", ""))
-    star = lambda kind, key: F.when(key.isNotNull(), F.concat(F.lit(kind), key))
-    keys = F.array_compact(F.array(star("g", F.col("duplicate_group_id").cast("string")), star("v", F.when(F.length(vin) == 17, vin))))
-    # 63 bits of hash name a value's vertex
-    by_value = listings.where("id is not null").select(F.col("id").alias("u"), F.explode(keys).alias("key")).select("u", (-1 - F.shiftrightunsigned(F.xxhash64("key"), 1)).alias("v"))
-    return by_pair.unionByName(by_value)
+    named = lambda kind, key: F.when(key.isNotNull(), F.xxhash64(F.lit(kind), key))
+    keys = F.array_compact(F.array(named("g", F.col("duplicate_group_id")), named("v", F.when(F.length(vin) == 17, vin))))
+    held = listings.where("id is not null").select(F.col("id").alias("u"), F.explode(keys).alias("h"))
+    stars = held.groupBy("h").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v < top").select("h", "v")
+    return by_pair.unionByName(held.join(stars, "h").where("u <> v").select("u", "v"))
 
 
 def listing_groups(listings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -153,6 +154,6 @@ def listing_groups(listings: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Empty tables give no rows.
     """
-    parts = durable(connected_components(listing_links(listings, pairs)).where("x >= 0"))
+    parts = durable(connected_components(listing_links(listings, pairs)))
     least = parts.groupBy("root").agg(F.min("x").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return parts.join(least, "root").select(F.col("x").alias("id"), "group_id")
