@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrion.session import durable
+from quarrion import session
+
+#: Many joins of small tables: none of them is broadcast, since the driver keeps some megabytes of each.
+durable = partial(session.durable, broadcast=False)
 
 #: Street types and directions with their spellings, and words that lead into an address or a unit.
 TYPES = {
@@ -171,6 +175,7 @@ def _named(nodes: DataFrame, letters: int, apart: int) -> DataFrame:
     top = index.groupBy("place", "number", "form").agg(F.max("rank").alias("rank"))
     near = index.drop("rank").join(top, ["place", "number", "form"]).where(F.levenshtein("street", "rank.street") <= apart)
     to = near.groupBy("place", "number", "street").agg(F.max("rank").alias("rank")).select("place", "number", "street", F.col("rank.street").alias("name"))
+    to = durable(to)
     again = to.select("place", "number", F.col("street").alias("name"), F.col("name").alias("name2"))
     return to.join(again, ["place", "number", "name"], "left").select("place", "number", "street", F.coalesce("name2", "name").alias("name"))
 
@@ -187,6 +192,7 @@ def _streets(rows: DataFrame) -> DataFrame:
     first = durable(_named(nodes, 1, 2))
     several = first.groupBy("place", "number").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("place", "number")
     left = nodes.join(first.select("place", "number", F.col("name").alias("street")).distinct(), ["place", "number", "street"], "left_semi").join(several, ["place", "number"], "left_semi")
+    left = durable(left)
     second = _named(left.where(F.length("street") >= 7), 2, 3).select("place", "number", F.col("name").alias("last"), F.col("street").alias("name"))
     return first.join(second, ["place", "number", "name"], "left").select("place", "number", "street", F.coalesce("last", "name").alias("name"))
 
@@ -198,11 +204,11 @@ def locations(records: DataFrame, zips: DataFrame) -> DataFrame:
     it stays open, a location of its own. Records without a usable address are left out.
     """
     rows = durable(parsed(locality(records, zips)).where("place is not null").distinct())
-    rows = rows.join(_streets(rows), ["place", "number", "street"]).drop("street")
+    rows = durable(rows.join(_streets(rows), ["place", "number", "street"]).drop("street"))
     at = ["place", "number", "name"]
-    rows = _settled(_settled(rows, [*at, "side"], "kind"), [*at, "kind"], "side")
+    rows = durable(_settled(_settled(rows, [*at, "side"], "kind"), [*at, "kind"], "side"))
     rows = _settled(_settled(rows, at, "kind"), [*at, "kind"], "side")
-    return _settled(rows, [*at, "kind", "side"], "unit")
+    return durable(_settled(rows, [*at, "kind", "side"], "unit"))
 
 
 def keyed(table_name: str, df: DataFrame) -> DataFrame:
