@@ -21,11 +21,11 @@ def blocked_pairs(rows: DataFrame, block: list[str], id_: str, columns: list[str
     return a.join(b, block).where("id_a < id_b")
 
 
-def alike(make: float = 85, trim: float = 60, apart: int = 500) -> Column:
+def alike(make: float = 85, trim: float = 60, apart: int = 500) -> tuple[Column, Column]:
     """G2 over the columns of ``blocked_pairs``: no two different vins, make and model alike, trims alike where both are given,
-    mileage and price close wherever both are given, and at least one of the two given. Zero is missing."""
-    given = lambda c: F.coalesce(F.col(f"{c}_a"), F.lit(0)) * F.coalesce(F.col(f"{c}_b"), F.lit(0)) != 0
-    close = lambda c: ~given(c) | (F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= apart)
+    mileage and price close wherever both are given, and at least one of the two given. Zero is missing. Returns what numbers and vins say, and what the texts say."""
+    given = lambda c: (F.coalesce(F.col(f"{c}_a"), F.lit(0)) != 0) & (F.coalesce(F.col(f"{c}_b"), F.lit(0)) != 0)
+    close = lambda c: ~given(c) | (F.abs(F.col(f"{c}_a").cast("bigint") - F.col(f"{c}_b")) <= apart)
     v = lambda s: F.upper(F.trim(F.coalesce(f"vin_{s}", F.lit(""))))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     cheap = ((v("a") == v("b")) | (v("a") == "") | (v("b") == "")) & (given("mileage") | given("price")) & close("mileage") & close("price")

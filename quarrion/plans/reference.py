@@ -183,14 +183,14 @@ def _(s, d):
     return search.top_of(rows, ["host"], [F.length("name").desc_nulls_last(), F.col("id").asc()]).select("host", "id", "name")
 
 
-@query("w5_latest_reading", "SELECT url, last_seen, load_no, price FROM listing_snapshots WHERE url IS NOT NULL AND last_seen IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, load_no DESC, price DESC NULLS LAST) = 1")
+@query("w5_latest_reading", "SELECT url, epoch_us(last_seen) AS seen, load_no, price FROM listing_snapshots WHERE url IS NOT NULL AND last_seen IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, load_no DESC, price DESC NULLS LAST) = 1")
 def _(s, d):
-    return search.latest(t(s, d, "listing_snapshots").where("url is not null"), ["url"], "last_seen", ["load_no", "price"])
+    return search.latest(t(s, d, "listing_snapshots").where("url is not null"), ["url"], "last_seen", ["load_no", "price"]).select("url", F.unix_micros("last_seen").alias("seen"), "load_no", "price")
 
 
-@query("o6_ordered_distinct", "SELECT url, min(last_seen) AS last_seen FROM listing_snapshots GROUP BY url")
+@query("o6_ordered_distinct", "SELECT url, epoch_us(min(last_seen)) AS seen FROM listing_snapshots GROUP BY url")
 def _(s, d):
-    return search.ordered_distinct(t(s, d, "listing_snapshots"), ["url"], "last_seen")
+    return search.ordered_distinct(t(s, d, "listing_snapshots"), ["url"], "last_seen").select("url", F.unix_micros("last_seen").alias("seen"))
 
 
 @query("o4_cheapest_per_source", "SELECT source, id, price FROM listings WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY price, id) <= 10")
@@ -268,12 +268,12 @@ def _(s, d):
 
 
 @query("j11_jaccard", """
-WITH m AS (SELECT DISTINCT dealership_id AS o, make || ' ' || model AS i FROM listings WHERE dealership_id IS NOT NULL AND make IS NOT NULL AND model IS NOT NULL), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
+WITH m AS (SELECT DISTINCT source || ':' || dealership_id AS o, vin AS i FROM listings WHERE dealership_id IS NOT NULL AND length(vin) = 17), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
 c AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM m x JOIN m y ON x.i = y.i AND x.o < y.o GROUP BY 1, 2)
-SELECT a, b, round(c::DOUBLE / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.o = a JOIN n nb ON nb.o = b WHERE c::DOUBLE / (na.n + nb.n - c) >= 0.3""")
+SELECT a, b, round(c::DOUBLE / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.o = a JOIN n nb ON nb.o = b WHERE c::DOUBLE / (na.n + nb.n - c) >= 0.1""")
 def _(s, d):
-    rows = t(s, d, "listings").select("dealership_id", F.concat("make", F.lit(" "), "model").alias("item"))
-    return linkage.set_jaccard(rows, "dealership_id", "item", 0.3)
+    rows = t(s, d, "listings").where("length(vin) = 17").select(F.concat("source", F.lit(":"), F.col("dealership_id").cast("string")).alias("owner"), "vin")
+    return linkage.set_jaccard(rows, "owner", "vin", 0.1)
 
 
 @query("g5_site_components", r"""
@@ -368,7 +368,7 @@ SELECT state, 'both' AS kind FROM (SELECT state FROM dealerships INTERSECT SELEC
 UNION ALL SELECT city, 'directory only' FROM (SELECT city FROM tx_directory EXCEPT SELECT city FROM dealerships)""")
 def _(s, d):
     both = t(s, d, "dealerships").select("state").intersect(t(s, d, "state_registry").select("state")).withColumn("kind", F.lit("both"))
-    only = t(s, d, "tx_directory").select(F.col("city").alias("state")).exceptAll(t(s, d, "tx_directory").limit(0).select("city")).distinct().subtract(t(s, d, "dealerships").select("city"))
+    only = t(s, d, "tx_directory").select(F.col("city").alias("state")).distinct().subtract(t(s, d, "dealerships").select("city"))
     return both.unionByName(only.withColumn("kind", F.lit("directory only")))
 
 
@@ -413,6 +413,6 @@ def _(s, d):
     return rows.select("id", pages.segment_fields(text).alias("x")).select("id", "x.vin", "x.mileage", "x.price")
 
 
-@query("stream_event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("stream_event_windows", "SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(s, d):
-    return event_windows(t(s, d, "events"))
+    return event_windows(t(s, d, "events")).select(F.to_date("start").cast("string").alias("day"), "event_type", "n", "total")

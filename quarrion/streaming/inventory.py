@@ -11,7 +11,7 @@ from quarrion.operators.upsert import collapsed, upsert
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "7 days") -> DataFrame:
     """(start, event_type, n, total) per window; rows later than the watermark are dropped, which is this project's own rule. Works on batches and streams."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     w = F.window("ts", width)
     return timed.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
