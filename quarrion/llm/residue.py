@@ -15,6 +15,8 @@ from quarrion.session import durable
 DEPTH = 3
 #: Different tokens at a place beyond which the place is a wildcard.
 VARIETY = 12
+#: Hashes of messages (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
+MOST_SENT = 500_000
 #: Cues that a worker remembers before it starts anew.
 REMEMBERED = 300_000
 
@@ -125,8 +127,8 @@ def message_templates(lines: DataFrame) -> DataFrame:
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, reason) of documents with a message template ('message') or an unresolved slot ('slot').
 
-    Each different template is judged once; verdicts go back to the documents by a join on the cue's hash, of which
-    Spark sees the size. Null, empty and blank texts are no residue. A document appears once a reason.
+    Each different template is judged once; verdicts go back to the documents by a join on the cue's hash, whose
+    size is counted before it is broadcast. Null, empty and blank texts are no residue. A document appears once a reason.
     """
     seen = durable(_observed(documents))
     lines = seen.where("cue is not null").groupBy("h").agg(F.min("cue").alias("cue"))
@@ -137,6 +139,8 @@ def residue(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([is_message(t) for t in batch.column(0).to_pylist()], pa.bool_())], names=["template", "message"])
 
     verdicts = by_line.select("template").distinct().mapInArrow(judge, "template string, message boolean").where("message").select("template")
-    bad = by_line.join(verdicts, "template", "left_semi").select("h")
+    bad = durable(by_line.join(verdicts, "template", "left_semi").select("h"))
+    if bad.count() <= MOST_SENT:
+        bad = F.broadcast(bad)
     message = seen.where("h is not null").join(bad, "h", "left_semi").select("doc_id", F.lit("message").alias("reason"))
     return message.unionByName(seen.where("slot").select("doc_id", F.lit("slot").alias("reason"))).distinct()
