@@ -42,14 +42,14 @@ _LIKE = [("rn", "m"), ("vv", "w"), ("li", "h"), ("l", "i"), ("f", "t"), ("ii", "
 
 
 def fold(text: str) -> str:
-    """Lower case ASCII letters with confusable ones made alike; other characters vanish, blanks stay.
+    """Lower case ASCII letters with confusable ones made alike; other characters vanish, blanks become one.
 
     A letter that an encoding error replaced by one or several others vanishes the same way, so both spellings agree.
     """
     s = text.lower().encode("ascii", "ignore").decode().translate(_CONFUSED)
     for a, b in _LIKE:
         s = s.replace(a, b)
-    return re.sub(r"[^a-z ]+", "", s)
+    return " ".join(re.sub(r"[^a-z\s]+", "", s).split())
 
 
 def unescaped(text: str) -> str:

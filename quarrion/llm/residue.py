@@ -57,7 +57,7 @@ def masked(cue: str) -> str:
 def is_message(template: str) -> bool:
     """Whether a template is what software says; wildcards count as any word."""
     plain = template.strip(" -.\"'")
-    if BARE.fullmatch(plain) or PAGE.search(plain) or _PHRASES.search(fold(template.replace("<*>", " ")).replace("  ", " ")):
+    if BARE.fullmatch(plain) or PAGE.search(plain) or _PHRASES.search(fold(template.replace("<*>", " "))):
         return True
     words = re.findall(r"[^\W\d_]+", template.lower())
     return sum(w in TERMS for w in set(words)) >= 3 and not SPEECH.search(template)

@@ -12,7 +12,7 @@ def test_cues():
 
 
 def test_residue(spark):
-    bad = ["Your text goes here", "{{ show }}: Hi", "Previously on %title%...", "undefined", "[TODO: translate cue 7]", "Lorem ipsum dolor sit amet,", "xxxx xxx xxxxxx", "&lt;speaker&gt;", "Escriba aquÃ\xad el subtÃ\xadtulo", "HTTP 503 Service Temporarily Unavailable"]
+    bad = ["Your text goes here", "{{ show }}: Hi", "Previously on %title%...", "undefined", "[TODO: translate cue 7]", "Lorem ipsum dolor sit amet,", "xxxx xxx xxxxxx", "&lt;speaker&gt;", "Escriba aquÃ\xad el subtÃ\xadtulo", "Texte à venir", "HTTP 503 Service Temporarily Unavailable"]
     good = ["They printed lorem ipsum\non every brochure!", "It’s undefined, professor.", "He left __ blank. Just a blank.", "{\\an8}Run!", "<i>Yeah.</i>", "$37.50 each", "You have to enable JavaScript first,\nmy nephew told me.", "Error 404 again.\nThe intern pulled the plug.", "[NAME REDACTED] was seen", "And the letter began 'insert name here'."]
     whole = ['{"status":429,"error":"internal","detail":"no subtitle for id 3"}', "<!DOCTYPE html>\n<html><head><title>404 Not Found</title></head>"]
     rows = [(i, SRT.format(t)) for i, t in enumerate(bad)] + [(50 + i, t) for i, t in enumerate(whole)] + [(100 + i, SRT.format(t)) for i, t in enumerate(good)] + [(200, None), (201, ""), (202, " \n"), (203, "word " * 30000), (0, SRT.format(bad[0]))]
