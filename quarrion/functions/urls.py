@@ -28,3 +28,13 @@ def page_key(url: Column) -> Column:
 
 def has_www(url: Column) -> Column:
     return url.rlike(r"(?i)^\s*(https?:)?//www\.")
+
+
+def slug_parts(url: Column) -> Column:
+    """(year, words) of a detail page's slug such as ``2019-honda-civic-lx-12345``: the delimited year from 1950 to 2039 and the
+    words behind it, without a number of four digits or more, or a vin, at the end. Null without such a year.
+    """
+    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
+    found = F.regexp_extract(path, r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$", 1)
+    words = F.regexp_extract(path, r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$", 2)
+    return F.struct(found.try_cast("int").alias("year"), F.when(found != "", F.regexp_replace(words, "[-_]+", " ")).alias("words"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from quarrion.functions import normalize as N
 from quarrion.functions.geo import miles_sql
+from quarrion.functions.urls import slug_parts
 from quarrion.functions.similarity import ratio_of, token_set_of, token_sort_of
 from quarrion.operators import geojoin, inventory, kpi, linkage, search, upsert
 from quarrion.operators.graph import components
@@ -142,6 +143,19 @@ def _(s, d):
     return t(s, d, "listings").select("id", N.title_parts(title).alias("x")).select("id", "x.year", "x.price")
 
 
+_SLUG = r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$"
+
+
+@query("c13_slugs", f"SELECT id, TRY_CAST(regexp_extract(lower(url), '{_SLUG}', 1) AS INTEGER) AS year, CASE WHEN regexp_extract(lower(url), '{_SLUG}', 1) <> '' THEN regexp_replace(regexp_extract(lower(url), '{_SLUG}', 2), '[-_]+', ' ', 'g') END AS words FROM listings WHERE source = 'dealer'")
+def _(s, d):
+    return t(s, d, "listings").where("source = 'dealer'").select("id", slug_parts(F.col("url")).alias("x")).select("id", "x.year", "x.words")
+
+
+@query("k8_log", "SELECT event_id, left(props, 6) AS detail FROM events")
+def _(s, d):
+    return t(s, d, "events").select("event_id", F.substring("props", 1, 6).alias("detail"))
+
+
 # aggregation, ranking
 
 COMPLETE = ["vin", "year", "make", "model", "trim", "exterior_color", "mileage", "price", "msrp", "image_url"]
