@@ -34,10 +34,34 @@ def alike(make: float = 85, trim: float = 60, apart: int = 500) -> tuple[Column,
     return cheap, texts & trims
 
 
+def near_pairs(rows: DataFrame, block: list[str], id_: str, columns: list[str], apart: int = 500) -> DataFrame:
+    """Pairs of rows of one block that can be close in mileage and price, each once, with the columns of both sides (a and b in either order).
+
+    No pair that ``alike`` takes is lost: where both rows give both numbers both must be close, otherwise the one that both
+    give. So rows meet in cells of ``apart`` miles and dollars and the cells beside them, or in stretches of one number
+    if a row lacks the other. Rows without either number have no pair. A hot block is cut by its cells.
+    """
+    at = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) != 0, F.floor(F.col(c).cast("bigint") / apart))
+    cell = lambda view, x, y, mirrored=False: F.struct(F.lit(view).alias("view"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(mirrored).alias("mirrored"))
+    m, p, zero = at("mileage"), at("price"), F.lit(0)
+    both = m.isNotNull() & p.isNotNull()
+    rows = rows.where(m.isNotNull() | p.isNotNull())
+    # of two cells side by side only one looks into the other; within a cell, and of two rows that lack the same number, each looks at the other
+    looks = F.when(both, F.array(cell(0, m, p))).when(m.isNotNull(), F.array(*[cell(1, m + d, zero) for d in (-1, 0, 1)])).otherwise(F.array(*[cell(2, zero, p + d) for d in (-1, 0, 1)]))
+    beside = [cell(0, m + x, p + y, (x, y) == (0, 0)) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
+    seen = F.when(both, F.array(*beside, cell(1, m, zero), cell(2, zero, p))).when(m.isNotNull(), F.array(cell(1, m, zero, True))).otherwise(F.array(cell(2, zero, p, True)))
+    side = lambda s, cells: rows.select(*block, F.col(id_).alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns], F.explode(cells).alias("cell"))
+    key = ["cell.view", "cell.x", "cell.y"]
+    a = side("a", looks).select("*", *key).drop("cell")
+    b = side("b", seen).select("*", *key, "cell.mirrored").drop("cell")
+    return a.join(b, [*block, "view", "x", "y"]).where("not mirrored or id_a < id_b").drop("view", "x", "y", "mirrored")
+
+
 def fuzzy_pairs(rows: DataFrame, block: list[str]) -> DataFrame:
-    """J9 with G2: (id_a, id_b). Numbers are compared in the join, texts afterwards and only for what is left."""
+    """J9 with G2: (id_a, id_b), the lesser first. Numbers are compared in the join, texts afterwards and only for what is left."""
     cheap, texts = alike()
-    return blocked_pairs(rows, block, "id", ["vin", "make", "model", "trim", "mileage", "price"]).where(cheap).where(texts).select("id_a", "id_b")
+    met = near_pairs(rows, block, "id", ["vin", "make", "model", "trim", "mileage", "price"])
+    return met.where(cheap).where(texts).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def guarded_groups(pairs: DataFrame, rows: DataFrame, block: list[str]) -> DataFrame:

@@ -265,14 +265,14 @@ def _(s, d):
 
 @query("g2_fuzzy_pairs")
 def _(s, d):
-    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumns({"make_key": N.make_key(F.col("make")), "model_key": F.substring(N.slug(F.col("model")), 1, 4)})
-    return linkage.fuzzy_pairs(rows, ["year", "make_key", "model_key"])
+    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumn("make_key", N.make_key(F.col("make")))
+    return linkage.fuzzy_pairs(rows, ["year", "make_key"])
 
 
 @query("g3_guarded_groups")
 def _(s, d):
-    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumns({"make_key": N.make_key(F.col("make")), "model_key": F.substring(N.slug(F.col("model")), 1, 4)})
-    return linkage.guarded_groups(linkage.fuzzy_pairs(rows, ["year", "make_key", "model_key"]), rows, ["year"])
+    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumn("make_key", N.make_key(F.col("make")))
+    return linkage.guarded_groups(linkage.fuzzy_pairs(rows, ["year", "make_key"]), rows, ["year"])
 
 
 @query("c22_ratios")
