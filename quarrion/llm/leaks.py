@@ -24,9 +24,9 @@ class Index:
 
     An unaltered window is found by every table, and half of the shortest item holds several; an edit spoils a
     table only if a sampled step lies where the two walks are apart. ``log_slots`` is the fixed size of the filter of
-    item hashes that goes to the executors, whatever the number of items. A pair is a candidate from ``hits`` common
-    hashes on: half of the shortest item holds four windows, which is forty when unaltered. ``share`` is
-    half of an item's words less an altered word at the edge.
+    item hashes that goes to the executors, whatever the number of items. A pair is a candidate from one common
+    hash on: half of the shortest item holds four windows, and altered words or an interposed line spoil most of
+    them. ``share`` is half of an item's words less an altered word at the edge.
     """
 
     chars: int = 32
@@ -35,7 +35,6 @@ class Index:
     bits: int = 9
     seed: int = 20
     log_slots: int = 27
-    hits: int = 40
     share: float = 0.48
 
 
@@ -121,29 +120,45 @@ def _near(a: str, b: str) -> bool:
     return row[m] <= most
 
 
-def coverage(doc: list[str], item: list[str], pure: float = 0.8, item_gap: int = 5, doc_gap: int = 30) -> float:
+class Places(dict):
+    """A word's places in an item, where the item has it or one that is one edit in four letters apart; what was asked is kept."""
+
+    def __init__(self, item: list[str]):
+        self.size, self.exact, self.ends = len(item), {}, {}
+        for j, w in enumerate(item):
+            self.exact.setdefault(w, []).append(j)
+        for v in self.exact:
+            if len(v) > 3:
+                for end in (v[:2], "-" + v[-2:]):
+                    self.ends.setdefault(end, []).append(v)
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        js = set(self.exact.get(w, ()))
+        if len(w) > 3:
+            for v in (*self.ends.get(w[:2], ()), *self.ends.get("-" + w[-2:], ())):
+                if v != w and abs(len(v) - len(w)) <= 2 and _near(w, v):
+                    js.update(self.exact[v])
+        self[w] = found = tuple(sorted(js))
+        return found
+
+
+def coverage(doc: list[str], item: list[str] | Places, pure: float = 0.8, item_gap: int = 5, doc_gap: int = 30, least: float = 0.0) -> float:
     """Share of the item's words that the best chain spans.
 
     A chain takes words that stand in both texts in the same order, equal or one edit in four letters apart. At most
     ``item_gap`` item words in a row may be altered or missing, at most ``doc_gap`` words put between, and at least
     ``pure`` of the spanned words must be there. A pair of words counts if the words next to it or next but one agree too.
+    Where too few of the item's words are there for a share of ``least``, the chain is not sought and the share is 0.
     """
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(item):
-        places.setdefault(w, []).append(j)
-    vague = [v for v in places if len(v) > 3]
-    known: dict[str, list[int]] = {}
-    pairs = []
-    for d, w in enumerate(doc):
-        js = known.get(w)
-        if js is None:
-            js = places.get(w, [])
-            if len(w) > 3:
-                js = sorted({*js, *(j for v in vague if v != w and abs(len(v) - len(w)) <= 2 and (v[:2] == w[:2] or v[-2:] == w[-2:]) and _near(w, v) for j in places[v])})
-            known[w] = js
-        pairs += [(d, j) for j in js]
+    places = item if isinstance(item, Places) else Places(item)
+    need = pure * least * places.size - 1e-6
+    if len(set().union(*map(places.__getitem__, set(doc)))) < need:
+        return 0.0
+    pairs = [(d, j) for d, w in enumerate(doc) for j in places[w]]
     there = set(pairs)
     pairs = [(d, j) for d, j in pairs if (d - 1, j - 1) in there or (d + 1, j + 1) in there or (d - 2, j - 2) in there or (d + 2, j + 2) in there]
+    if len({j for _, j in pairs}) < need:
+        return 0.0
     best: list[tuple[int, int]] = []
     top, low = 0, 0
     for k, (d, j) in enumerate(pairs):
@@ -159,7 +174,7 @@ def coverage(doc: list[str], item: list[str], pure: float = 0.8, item_gap: int =
         best.append((n, start))
         if n >= pure * (j - start + 1):
             top = max(top, j - start + 1)
-    return top / len(item) if item else 0.0
+    return top / places.size if places.size else 0.0
 
 
 def leaked(documents: DataFrame, items: DataFrame, index: Index = Index()) -> DataFrame:
@@ -221,12 +236,24 @@ def leaked(documents: DataFrame, items: DataFrame, index: Index = Index()) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in found], pa.int64()), pa.array([" ".join(texts[d]) for d in found], pa.string()), pa.array([list(h) for h in found.values()], pa.list_(pa.int64()))], names=["doc_id", "doc", "hashes"])
 
     hits = durable(documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(doc_rows, "doc_id long, doc string, hashes array<long>").withColumn("row", F.monotonically_increasing_id()))
-    pairs = hits.select("row", F.explode("hashes").alias("h")).join(rows.where("h is not null").select("h", "item_id"), "h").groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= index.hits).select("row", "item_id")
+    pairs = hits.select("row", F.explode("hashes").alias("h")).join(rows.where("h is not null").select("h", "item_id"), "h").select("row", "item_id").distinct()
     both = pairs.join(hits.select("row", "doc_id", "doc"), "row").join(rows.where("h is null").select("item_id", "words"), "item_id").select("doc_id", "item_id", "doc", "words")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[str, Places] = {}
+        asked = 0
         for batch in batches:
-            share = [coverage(d.split(" "), w.split(" ")) for d, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            share = []
+            for d, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                places = items.get(w)
+                if places is None:
+                    places = items[w] = Places(w.split(" "))
+                before = len(places)
+                share.append(coverage(d.split(" "), places, least=index.share))
+                asked += len(places) - before
+                if asked > 300_000 or len(items) > 10_000:
+                    items.clear()
+                    asked = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return both.mapInArrow(check, "doc_id long, item_id long, share double").where(F.col("share") >= index.share).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
