@@ -112,7 +112,8 @@ def message_templates(lines: DataFrame) -> DataFrame:
     The tree's path is the number of tokens and the first DEPTH of them. Below it, a place at which the cues of the
     path show more than VARIETY different tokens is a wildcard. Places are counted by aggregation, so that a path
     taken by very many cues never meets in one task. The tree looks only at cues of up to 40 tokens; a longer one is
-    its own template.
+    its own template. A cue whose template has a wildcard of a place stands beside it as a template of its own, so that
+    its telling words are judged however many other cues share its path.
     """
     tokens = F.split("cue", " ")
     lines = lines.select("h", "cue", tokens.alias("t"))
@@ -121,7 +122,7 @@ def message_templates(lines: DataFrame) -> DataFrame:
     places = deep.select("path", F.posexplode("t").alias("place", "token")).where(F.col("place") >= DEPTH)
     wild = places.groupBy("path", "place").agg(F.approx_count_distinct("token").alias("n")).where(F.col("n") > VARIETY).groupBy("path").agg(F.collect_set("place").alias("wild"))
     filled = F.array_join(F.transform("t", lambda x, i: F.when(F.array_contains("wild", i), F.lit("<*>")).otherwise(x)), " ")
-    return short.join(wild, "path", "left").select("h", F.when(F.col("wild").isNull(), F.col("cue")).otherwise(filled).alias("template")).unionByName(lines.where(F.size("t") > 40).select("h", F.col("cue").alias("template")))
+    return short.join(wild, "path", "left").select("h", F.explode(F.when(F.col("wild").isNull(), F.array("cue")).otherwise(F.array("cue", filled))).alias("template")).unionByName(lines.where(F.size("t") > 40).select("h", F.col("cue").alias("template")))
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def residue(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([is_message(t) for t in batch.column(0).to_pylist()], pa.bool_())], names=["template", "message"])
 
     verdicts = by_line.select("template").distinct().mapInArrow(judge, "template string, message boolean").where("message").select("template")
-    bad = durable(by_line.join(verdicts, "template", "left_semi").select("h"))
+    bad = durable(by_line.join(verdicts, "template", "left_semi").select("h").distinct())
     if bad.count() <= MOST_SENT:
         bad = F.broadcast(bad)
     message = seen.where("h is not null").join(bad, "h", "left_semi").select("doc_id", F.lit("message").alias("reason"))
