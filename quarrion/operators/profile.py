@@ -34,22 +34,32 @@ def number_mask(v: Column) -> Column:
     return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), text, F.lit("|"), size.cast("string"))
 
 
-def _mask(df: DataFrame, name: str) -> Column:
+def time_mask(v: Column, week: Column | None = None) -> Column:
+    """T where the time of day is set, else D, and the signed offset in hours from the load's week in halves of a power of two; without a week the offset is from 1970."""
+    v = v.cast("timestamp")
+    hours = (F.unix_seconds(v) - (F.lit(0) if week is None else F.coalesce(F.unix_seconds(week.cast("timestamp")), F.lit(0)))) / 3600
+    size = (F.signum(hours) * F.floor(F.log2(F.abs(hours) + 1) * 2)).cast("int")
+    return F.concat(F.when(F.date_trunc("day", v) == v, F.lit("D")).otherwise(F.lit("T")), F.lit("|"), F.when(v.isNotNull(), size).cast("string"))
+
+
+def _mask(df: DataFrame, name: str, week: Column | None = None) -> Column:
     kind, v = df.schema[name].dataType, F.col(name)
     if isinstance(kind, (T.NumericType,)):
         return number_mask(v)
     if isinstance(kind, T.StringType):
         return text_mask(v)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return time_mask(v, week)
     return F.lit(kind.simpleString())
 
 
-def mask_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+def mask_counts(df: DataFrame, by: list[str], columns: list[str], week: Column | None = None) -> DataFrame:
     """(by, column_name, mask, n): how often each mask occurs; the mask of null is null.
 
     One pass over the named columns with partial aggregation before the only shuffle; a hot group arrives as one row
     per mask and task.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _mask(df, c).alias("mask")) for c in columns]))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _mask(df, c, week).alias("mask")) for c in columns]))
     return df.select(*by, cells.alias("c")).groupBy(*by, "c.column_name", "c.mask").count().withColumnRenamed("count", "n")
 
 
@@ -103,14 +113,19 @@ def load_divergence(counts: DataFrame, source: list[str], load: str) -> DataFram
     return parts[0].unionByName(parts[1]).groupBy(*by).agg(F.max("divergence").alias("divergence"))
 
 
-def profile(df: DataFrame, source: list[str], load: str, columns: list[str]) -> DataFrame:
+def profile(df: DataFrame, source: list[str], load: str, columns: list[str], weeks: DataFrame | None = None) -> DataFrame:
     """Profile of every column per source and load, with mask violations and divergence between loads.
 
     A rare-mask violation is a value whose mask has less than RARE of the column's values in the source's
     ordinary loads. Nulls are counted as nulls and as a mask of their own. Empty input gives no rows.
+    Timestamps are masked by their offset from the load's week in ``weeks`` (load, week_start).
     """
     by = [*source, load]
-    counts = mask_counts(df, by, columns)
+    if weeks is None:
+        counts = mask_counts(df, by, columns)
+    else:
+        known = weeks.groupBy(load).agg(F.min("week_start").alias("\0week"))
+        counts = mask_counts(df.select(*by, *columns).join(known, load, "left"), by, columns, F.col("\0week"))
     shares = _shares(counts, source, load)
     top = F.max(F.when(F.col("mask") != "\0", F.struct("share", "mask"))).getField("mask")
     masks = shares.groupBy(*by, "column_name").agg(F.sum(F.when((F.col("mask") != "\0") & (F.col("ordinary") < RARE), F.col("n")).otherwise(0)).alias("n_violations"), F.count_if(F.col("n") > 0).alias("n_masks"), top.alias("dominant_mask"))

@@ -11,7 +11,7 @@ QUERIES = {
     "p2_found": lambda s, d: price_history(table(s, d, "listing_snapshots"), table(s, d, "load_calendar"), table(s, d, "listings")),
     "p4_found": lambda s, d: snapshot_changes(table(s, d, "listing_snapshots"), table(s, d, "load_calendar"), table(s, d, "listings")),
     "p6_found": lambda s, d: altered_loads(table(s, d, "listing_snapshots"), ["source"], "load_no", ["mileage", "vin", "image_url", "price"]).where("altered").select("source", "load_no", "column_name"),
-    "p6_profile": lambda s, d: profile(table(s, d, "listing_snapshots"), ["source"], "load_no", [c for c in table(s, d, "listing_snapshots").columns if c not in ("source", "load_no")]),
+    "p6_profile": lambda s, d: profile(table(s, d, "listing_snapshots"), ["source"], "load_no", [c for c in table(s, d, "listing_snapshots").columns if c not in ("source", "load_no")], table(s, d, "load_calendar")),
 }
 
 #: The page's key and the readings, as DuckDB says them.
