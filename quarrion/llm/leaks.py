@@ -25,17 +25,20 @@ class Index:
     An unaltered window is found by every table, and half of the shortest item holds several; an edit spoils a
     table only if a sampled step lies where the two walks are apart. ``log_slots`` is the fixed size of the filter of
     item hashes that goes to the executors, whatever the number of items. A pair is a candidate from one common
-    hash on: half of the shortest item holds four windows, and altered words or an interposed line spoil most of
-    them. ``share`` is half of an item's words less an altered word at the edge.
+    hash on: half of the shortest item holds few windows, and altered words or an interposed line spoil most of
+    them. ``share`` is half of an item's words less an altered word at the edge. ``pure`` is the share of the spanned
+    words that must be there: two altered words in half of the shortest item pass, a sentence of the same pattern
+    about other things (every fifth or sixth word another) does not.
     """
 
-    chars: int = 32
+    chars: int = 24
     stride: int = 8
     tables: int = 10
-    bits: int = 9
+    bits: int = 14
     seed: int = 20
     log_slots: int = 27
     share: float = 0.48
+    pure: float = 0.85
 
 
 def spoken(text: str) -> list[str]:
@@ -142,7 +145,7 @@ class Places(dict):
         return found
 
 
-def coverage(doc: list[str], item: list[str] | Places, pure: float = 0.8, item_gap: int = 5, doc_gap: int = 30, least: float = 0.0) -> float:
+def coverage(doc: list[str], item: list[str] | Places, pure: float = 0.85, item_gap: int = 5, doc_gap: int = 30, least: float = 0.0) -> float:
     """Share of the item's words that the best chain spans.
 
     A chain takes words that stand in both texts in the same order, equal or one edit in four letters apart. At most
@@ -249,7 +252,7 @@ def leaked(documents: DataFrame, items: DataFrame, index: Index = Index()) -> Da
                 if places is None:
                     places = items[w] = Places(w.split(" "))
                 before = len(places)
-                share.append(coverage(d.split(" "), places, least=index.share))
+                share.append(coverage(d.split(" "), places, pure=index.pure, least=index.share))
                 asked += len(places) - before
                 if asked > 300_000 or len(items) > 10_000:
                     items.clear()
