@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from quarrion import session
+from quarrion.operators.graph import components
+
+#: Share of vertices of degree one or two below which a round hands over to the solver of the core.
+HAND_OVER = 0.1
+#: Doublings of pointers between two checkpoints.
+DOUBLINGS = 1
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
     arcs = durable(arcs.join(chain.select(F.col("u").alias("next"), F.lit(True).alias("open")), "next", "left").select("from", "x", "at", "next", "low", F.coalesce("open", F.lit(False)).alias("open")))
     while True:
         arcs = arcs.withColumn("news", F.lit(False))
-        for _ in range(2):  # two doublings a round
+        for _ in range(DOUBLINGS):
             ahead = arcs.select(F.col("from").alias("at"), F.col("x").alias("next"), F.col("at").alias("at2"), F.col("next").alias("next2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
             moved = arcs.where("open").join(ahead, ["at", "next"]).select("from", "x", F.col("at2").alias("at"), F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"), (F.col("news") | ~F.col("open2") | (F.col("low2") < F.col("low"))).alias("news"))
             arcs = arcs.where("not open").unionByName(moved)
@@ -57,22 +65,6 @@ def _rank_chains(chain: DataFrame) -> DataFrame:
     return arcs.groupBy("x").agg(F.min(F.when(~F.col("open"), F.col("next"))).alias("p"), F.max(F.when(~F.col("open"), F.col("next"))).alias("q"), F.min("low").alias("low"))
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """(x, to): each vertex of the reduced core with the least vertex of its part, by alternating large and small stars."""
-    big, total = edges.where("u > v"), None
-    while True:
-        ring = big.unionByName(big.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ring.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = ring.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        big = durable(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = big.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
-        if now == total:
-            return big.select(F.col("u").alias("x"), F.col("v").alias("to"))
-        total = now
-
-
 def _follow(parents: DataFrame) -> DataFrame:
     """(x, to) with ``to`` the root, by doubling; a vertex without a parent is a root."""
     while True:
@@ -88,8 +80,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(x, root) for every vertex of ``edges`` (u, v long): vertices have the same root if and only if they are linked.
 
     Every round strips the degree-one vertices and compresses the maximal chains of degree-two vertices to one edge by
-    list ranking, each taken vertex pointing at the one that stays; rounds are logarithmic in a tree's size. What is left
-    has degree three and more and is solved by stars; then pointers are followed back. A hub of any degree is one
+    list ranking, each taken vertex pointing at the one that stays; rounds are logarithmic in a tree's size. When a
+    round finds too few of them to be worth a pass over the edges (HAND_OVER), what is left, most of it of degree three and more, is
+    solved by stars; then pointers are followed back. A hub of any degree is one
     key of aggregations that combine before the shuffle; joins on it are left to the adaptive skew join. Nothing
     but counts reaches the driver. Nulls and loops are no edges, repeated edges count once, no edges give no rows.
     """
@@ -98,12 +91,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         ends = durable(edges.groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min("v").alias("a"), F.max("v").alias("b")))
         n = ends.agg(F.count_if(F.col("deg") == 1).alias("one"), F.count_if(F.col("deg") == 2).alias("two"), F.count(F.lit(1)).alias("all")).first()
-        if not n["one"] and not n["two"]:
+        if n["one"] + n["two"] <= HAND_OVER * n["all"]:
             break
+        out, links = [], None
         if n["one"]:
             gone = durable(_leaves(ends))
             taken.append(gone)
-            edges = _without(edges, gone)
+            out.append(gone.select("x"))
         if n["two"]:
             # degrees before the strip: a vertex that has just lost a leaf waits for the next round
             chain = ends.where("deg = 2").select("u", "a", "b")
@@ -113,19 +107,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             chain = durable(chain)
             if chain.limit(1).count():
                 ranks = durable(_rank_chains(chain))
-                gone = ranks.select("x", F.coalesce("p", "low").alias("to")).where("x <> to")
-                links = ranks.where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v"))
-                taken.append(gone)
-                edges = _without(edges, ranks.select("x")).unionByName(_both_ways(links)).distinct()
-        edges = durable(edges)
+                taken.append(ranks.select("x", F.coalesce("p", "low").alias("to")).where("x <> to"))
+                links = _both_ways(ranks.where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")))
+                out.append(ranks.select("x"))
+        # one removal a round, for leaves and chains together
+        edges = _without(edges, reduce(DataFrame.unionByName, out))
+        edges = durable(edges if links is None else edges.unionByName(links).distinct())
     if n["all"]:
-        taken.append(_core(edges))
+        taken.append(components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("x"), F.col("root").alias("to")).where("x <> to"))
     if not taken:
         return edges.select(F.col("u").alias("x"), F.col("v").alias("root"))
-    parents = taken[0]
-    for t in taken[1:]:
-        parents = parents.unionByName(t)
-    parents = _follow(durable(parents))
+    parents = _follow(durable(reduce(DataFrame.unionByName, taken)))
     roots = parents.select(F.col("to").alias("x")).distinct()
     return parents.withColumnRenamed("to", "root").unionByName(roots.select("x", F.col("x").alias("root"))).distinct()
 
