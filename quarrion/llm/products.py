@@ -2,239 +2,207 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from quarrion.session import durable
 
-from quarrion.llm.addresses import distance
-
-#: Versions that may be sent to every executor; a larger catalogue is matched block by block in a join.
-MOST_SENT = 50_000
 #: Least cosine of two words' n-grams at which they are compared as one word misspelt.
 COSINE = 0.2
-#: Spellings of drives, and units of power in horse power.
+#: Words in a row that can be one name.
+WIDEST = 3
+#: Spellings of drives with the drives they allow (1 all, 2 front, 4 rear), and units of power in horse power.
 DRIVES = [
-    ({"AWD"}, r"\b(?:awd|4wd|4x4|4 ?x ?4|all[ -]wheel(?:[ -]drive)?|four[ -]wheel(?:[ -]drive)?|quattro)\b"),
-    ({"FWD"}, r"\b(?:fwd|front[ -]wheel(?:[ -]drive)?)\b"),
-    ({"RWD"}, r"\b(?:rwd|rear[ -]wheel(?:[ -]drive)?)\b"),
-    ({"FWD", "RWD"}, r"\b(?:2wd|4x2|two[ -]wheel(?:[ -]drive)?)\b"),
+    (1, r"\b(?:awd|4wd|4x4|4 ?x ?4|all[ -]wheel(?:[ -]drive)?|four[ -]wheel(?:[ -]drive)?|quattro)\b"),
+    (2, r"\b(?:fwd|front[ -]wheel(?:[ -]drive)?)\b"),
+    (4, r"\b(?:rwd|rear[ -]wheel(?:[ -]drive)?)\b"),
+    (6, r"\b(?:2wd|4x2|two[ -]wheel(?:[ -]drive)?)\b"),
 ]
 POWER = {"hp": 1.0, "bhp": 1.0, "ps": 0.98632, "kw": 1.34102}
-#: Advertising that holds the word of a trim, and short forms of trims.
-PRAISE = re.compile(r"\b(?:limited (?:offer|time|warranty)|premium (?:sound|audio|wheels|package)|sport (?:seats|suspension|mode)|touring tires)\b", re.I)
-SHORT = [(re.compile(r"\bprem\.?(?=\s|$)", re.I), "premium"), (re.compile(r"\b(?:ltd\.?|lim\.)(?=\s|$)", re.I), "limited"), (re.compile(r"\btitan\.(?=\s|$)", re.I), "titanium"), (re.compile(r"\btour\.(?=\s|$)", re.I), "touring")]
-_DRIVE = [(kinds, re.compile(p, re.I)) for kinds, p in DRIVES]
-_POWER = re.compile(r"(\d{2,4})\s*(hp|bhp|ps|kw)\b", re.I)
-_CUBIC = re.compile(r"(\d{3,4})\s*(?:cc|ccm|cm3)\b", re.I)
-_LITRE = re.compile(r"\b(\d)[.,](\d)\s*(?:l\b|liter\b|litre\b|-liter\b|-litre\b|l?(?=[\s/,;-]|$))", re.I)
-_BODY = re.compile(r"\b(sedan|coupe|hatchback|suv|pickup|wagon)\b", re.I)
+#: Advertising that holds the word of a trim, short forms of trims, bodies.
+PRAISE = r"(?i)\b(?:limited (?:offer|time|warranty)|premium (?:sound|audio|wheels|package)|sport (?:seats|suspension|mode)|touring tires)\b"
+SHORT = {r"(?i)\bprem\.?(?=\s|$)": "premium", r"(?i)\b(?:ltd\.?|lim\.)(?=\s|$)": "limited", r"(?i)\btitan\.(?=\s|$)": "titanium", r"(?i)\btour\.(?=\s|$)": "touring"}
+BODY = r"(?i)\b(?:sedan|coupe|hatchback|suv|pickup|wagon)\b"
+_POWER = r"(?i)(\d{2,4})\s*(hp|bhp|ps|kw)\b"
+_CUBIC = r"(?i)\b(\d{3,4})\s*(?:ccm|cm3|cc)\b"
+_LITRE = r"(?i)\b(\d)[.,](\d)\s*(?:l\b|liter\b|litre\b|-liter\b|-litre\b|l?(?=[\s/,;-]|$))"
 
 
-def grams(word: str) -> set[str]:
-    w = f"^{word}$"
-    return {w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
+def bare(text: Column) -> Column:
+    """The letters and digits of a text, in lower case."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def bare(text: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", text.lower())
+def _cut(df: DataFrame, pattern: str) -> DataFrame:
+    return df.withColumn("text", F.regexp_replace("text", pattern, " "))
 
 
-class Catalogue:
-    """The versions, with an inverted index of their names' n-grams weighted by inverse frequency.
+def wordings(listings: DataFrame) -> DataFrame:
+    """(make, model, trim, words, drives, litres, power): the different wordings, numbers and drives taken out of the text.
 
-    A name of model or make is found in a text as the joined letters of one to three words in a row: exactly (its rare
-    token), or as the best cosine among the names that share n-grams with it. Names whose digits differ never match.
+    ``words`` are the bare words that remain; ``drives``, ``litres`` and ``power`` are null where nothing is stated.
+    """
+    df = listings.select("make", "model", "trim").distinct()
+    df = _cut(df.withColumn("text", F.concat_ws(" ", "make", "model", "trim")), PRAISE)
+    for short, whole in SHORT.items():
+        df = df.withColumn("text", F.regexp_replace("text", short, whole))
+    df = df.withColumn("drives", F.lit(None).cast("int"))
+    for kinds, p in DRIVES:
+        p = f"(?i){p}"
+        df = _cut(df.withColumn("drives", F.when(F.col("text").rlike(p), F.coalesce("drives", F.lit(7)).bitwiseAND(F.lit(kinds))).otherwise(F.col("drives"))), p)
+    first = lambda p, i: F.nullif(F.regexp_extract("text", p, i), F.lit(""))
+    unit = F.create_map(*[F.lit(x) for kv in POWER.items() for x in kv])
+    df = _cut(df.withColumn("power", first(_POWER, 1).try_cast("double") * F.try_element_at(unit, F.lower(first(_POWER, 2)))), _POWER)
+    df = _cut(df.withColumn("litres", F.round(first(_CUBIC, 1).try_cast("double") / 1000, 1)), _CUBIC)
+    df = _cut(df.withColumn("litres", F.coalesce(F.concat(first(_LITRE, 1), F.lit("."), first(_LITRE, 2)).try_cast("double"), "litres")), _LITRE)
+    df = _cut(df, BODY)
+    words = F.filter(F.transform(F.split("text", r"[\s/,;|()*★]+"), bare), lambda w: w != "")
+    return df.select("make", "model", "trim", words.alias("words"), "drives", "litres", "power", (F.coalesce(bare(F.col("make")), F.lit("")) != "").alias("says_make"))
+
+
+def grams(word: Column) -> Column:
+    """The different pieces of two and three letters of a word with its ends marked."""
+    w = F.concat(F.lit("^"), word, F.lit("$"))
+    pieces = lambda n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(pieces(2), pieces(3)))
+
+
+def near_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(w, name, kind, cosine): for every asked word (w) the names (name, kind) that it misspells.
+
+    Pieces of letters are the blocks: a word meets the names that share one, are at most two letters longer or shorter and have the
+    same digits (numbers that conflict never meet). The cosine is weighted by the inverse frequency of the pieces
+    among the names and summed by aggregation; what reaches COSINE is confirmed by its edits, one, two from eight letters
+    on, where neighbouring letters exchanged are one.
     """
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    pieces = names.select("name").distinct().select("name", F.explode(grams(F.col("name"))).alias("g"))
+    total = names.select("name").distinct().agg(F.count(F.lit(1)).alias("total"))
+    weight = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("g", F.log(1 + F.col("total") / F.col("n")).alias("weight"), F.log(1.0 + F.col("total")).alias("most"))  # every piece by one row
+    pieces = pieces.join(weight, "g")
+    norms = pieces.groupBy("name").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("name_norm"))
+    own = asked.select("w", F.explode(grams(F.col("w"))).alias("g"))
+    most = weight.agg(F.max("most").alias("top"))
+    asked_norm = own.join(weight.select("g", "weight"), "g", "left").crossJoin(most).groupBy("w").agg(F.sqrt(F.sum(F.pow(F.coalesce("weight", "top"), F.lit(2)))).alias("norm"))
+    met = own.join(pieces.select("g", "name", "weight"), "g").where((F.abs(F.length("w") - F.length("name")) <= 2) & (digits(F.col("w")) == digits(F.col("name"))))
+    dots = met.groupBy("w", "name").agg(F.sum(F.col("weight") * F.col("weight")).alias("dot"))
+    close = dots.join(norms, "name").join(asked_norm, "w").withColumn("cosine", F.col("dot") / F.col("norm") / F.col("name_norm")).where(F.col("cosine") >= COSINE)
+    edits = F.levenshtein("w", "name")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    exchanged = letters(F.col("w")) == letters(F.col("name"))
+    allowed = 1 + (F.least(F.length("w"), F.length("name")) >= 8).cast("int")
+    # letters exchanged cost Levenshtein two and keep the letters' multiset
+    close = close.where((edits <= allowed) | (exchanged & (edits <= 2 * allowed)))
+    return close.join(names, "name").select("w", "name", "kind", "cosine")
+
+
+def _spelt(windows: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+    """(w, name_, cosine): the names of a kind that the different stretches of ``windows`` misspell."""
+    return durable(near_names(windows.select("w").distinct(), kinds).where(F.col("kind") == kind).select("w", F.col("name").alias("name_"), "cosine"))
+
+
+def _windows(df: DataFrame, words: Column, widest: int, narrowest: int = 1) -> DataFrame:
+    """Adds a row for every stretch of up to ``widest`` words: its place ``i`` (from 1), size ``n`` and joined letters ``w``."""
+
+    def of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, F.lit(n)), "").alias("w")))
+        return F.when(F.size(words) >= n, each).otherwise(F.array())
 
-    def __init__(self, rows: list[dict]):
-        self.families: dict[tuple[str, str], list[dict]] = defaultdict(list)
-        for r in rows:
-            self.families[bare(r["make"] or ""), bare(r["model"] or "")].append(r)
-        self.makes = {m for m, _ in self.families}
-        self.initials = {"".join(w[0] for w in re.findall(r"[a-z0-9]+", r["make"].lower())): bare(r["make"]) for r in rows if r["make"]}
-        self.models: dict[str, list[tuple[str, str]]] = defaultdict(list)
-        for f in self.families:
-            self.models[f[1]].append(f)
-        names = self.makes | set(self.models)
-        self.trims = {bare(r["trim"] or ""): r["trim"] for r in rows if r["trim"]}
-        seen: dict[str, int] = defaultdict(int)
-        for n in names | set(self.trims):
-            for g in grams(n):
-                seen[g] += 1
-        total = len(names) + len(self.trims)
-        self.weight = {g: math.log(1 + total / n) for g, n in seen.items()}
-        self.most = math.log(1 + total)
-        self.where: dict[str, list[str]] = defaultdict(list)
-        for n in names | set(self.trims):
-            for g in grams(n):
-                self.where[g].append(n)
-        self.norm = {n: math.sqrt(sum(self.weight[g] ** 2 for g in grams(n))) for n in names | set(self.trims)}
-        self.nearest = lru_cache(200_000)(self._nearest)
-
-    def _nearest(self, word: str) -> tuple[tuple[str, float], ...]:
-        """Names of the catalogue by falling cosine with a word, those with other digits left out."""
-        own, dots = grams(word), defaultdict(float)
-        for g in own:
-            for n in self.where.get(g, ()):
-                dots[n] += self.weight[g] ** 2
-        size = math.sqrt(sum(self.weight.get(g, self.most) ** 2 for g in own))
-        digits = re.sub(r"\D", "", word)
-        found = [(n, d / size / self.norm[n]) for n, d in dots.items() if re.sub(r"\D", "", n) == digits]
-        # one error, two in eight letters
-        close = [x for x in found if x[1] >= COSINE and abs(len(x[0]) - len(word)) <= 2 and distance(word, x[0]) <= 1 + (min(len(word), len(x[0])) >= 8)]
-        return tuple(sorted(close, key=lambda x: (-x[1], x[0])))
-
-    def _words(self, text: str) -> list[str]:
-        return [w for w in re.split(r"[\s/,;|()*★]+", text) if bare(w)]
-
-    def _model(self, words: list[str], makes: set[str]) -> tuple[tuple[str, str], int, int] | None:
-        """Family that the words name, with the place of its words: exact names first, longest first, else the best cosine."""
-        windows = [(i, n, bare("".join(words[i : i + n]))) for n in (3, 2, 1) for i in range(len(words) - n + 1)]
-        for i, n, w in windows:
-            own = [f for f in self.models.get(w, ()) if not makes or f[0] in makes]
-            if len(own) == 1:
-                return own[0], i, n
-        best = None
-        for i, n, w in windows:
-            if len(w) < 4 or w in self.trims or w in self.makes:
-                continue
-            for name, c in self.nearest(w):
-                for f in self.models.get(name, ()):
-                    if (not makes or f[0] in makes) and abs(len(name) - len(w)) <= 2 and (best is None or c > best[0] + 1e-9):
-                        best = (c, f, i, n)
-        return best and best[1:]
-
-    def _makes(self, words: list[str]) -> tuple[set[str], set[int]]:
-        """Makes that the first words can mean (short forms and misspellings too), and the places of these words."""
-        for n in (2, 1):
-            for i in range(min(2, len(words) - n + 1)):
-                w = bare("".join(words[i : i + n]))
-                near = [w] if w in self.makes else [m for m, _ in self.nearest(w) if m in self.makes] if n == 2 else []
-                if near:
-                    return {near[0]}, set(range(i, i + n))
-        w = bare(words[0]) if words else ""
-        if len(w) >= 3 and w not in self.models:
-            near = [(m, c) for m, c in self.nearest(w) if m in self.makes]
-            if near:
-                return {near[0][0]}, {0}
-            short = {m for m in self.makes if m.startswith(w) or (m[0] == w[0] and _within(w, m))}
-            if short:
-                return short, {0}
-        if len(w) == 2 and w in self.initials:
-            return {self.initials[w]}, {0}
-        return set(), set()
-
-    def match(self, make: str | None, model: str | None, trim: str | None) -> int | None:
-        """The one version that the three texts tell, or None."""
-        text = PRAISE.sub(" ", " ".join(x for x in (make, model, trim) if x))
-        for pattern, whole in SHORT:
-            text = pattern.sub(whole, text)
-        drives, litres, power, left = None, None, None, text
-        for kinds, pattern in _DRIVE:
-            if pattern.search(left):
-                drives = kinds if drives is None else drives & kinds
-                left = pattern.sub(" ", left)
-        m = _POWER.search(left)
-        if m:
-            power, left = int(m[1]) * POWER[m[2].lower()], _POWER.sub(" ", left)
-        m = _CUBIC.search(left)
-        if m:
-            litres, left = round(int(m[1]) / 1000, 1), _CUBIC.sub(" ", left)
-        m = _LITRE.search(left)
-        if m:
-            litres, left = float(f"{m[1]}.{m[2]}"), _LITRE.sub(" ", left)
-        words = self._words(_BODY.sub(" ", left))
-        makes, used = self._makes(words)
-        if make and bare(make) and not makes:
-            return None  # a make of no catalogue
-        rest = [w for i, w in enumerate(words) if i not in used]
-        found = self._model(rest, makes)
-        if not found:
-            return None
-        family, at, n = found
-        own = self.families[family]
-        trims = self._trims(rest[:at] + rest[at + n :], {bare(r["trim"] or "") for r in own})
-        if len(trims) != 1:
-            return None
-        # vetoes: a stated engine, power or drive that a version does not have
-        fit = [
-            r for r in own
-            if bare(r["trim"] or "") in trims
-            and (drives is None or (r["drivetrain"] or "").upper() in drives)
-            and (litres is None or abs(_number(r["engine"]) - litres) < 0.05)
-            and (power is None or abs((r["power_hp"] or 0) - power) <= 2.5)
-        ]
-        return fit[0]["version_id"] if len(fit) == 1 else None
-
-    def _trims(self, words: list[str], own: set[str]) -> set[str]:
-        """Trims that the words name, exactly and longest first, else misspelt; those of other families count as well, as a conflict."""
-        found, i, left = set(), 0, []
-        while i < len(words):
-            for n in (2, 1):
-                w = bare("".join(words[i : i + n]))
-                if i + n <= len(words) and w in self.trims and (n == 1 or len(words[i]) > 1):
-                    found.add(w)
-                    i += n
-                    break
-            else:
-                left.append(bare(words[i]))
-                i += 1
-        if not found:
-            pairs = [a + b for a, b in zip(left, left[1:])]
-            for w in (*pairs, *left):
-                near = [x for x, c in self.nearest(w) if x in self.trims] if len(w) >= 5 else []
-                if near and near[0] in own and not found:
-                    found.add(near[0])
-        return found
-
-
-def _number(text: str | None) -> float:
-    m = re.search(r"\d+(?:[.,]\d+)?", text or "")
-    return float(m[0].replace(",", ".")) if m else -1.0
-
-
-def _within(short: str, name: str) -> bool:
-    """Whether the letters of ``short`` stand in ``name`` in order."""
-    it = iter(name)
-    return all(c in it for c in short)
+    places = F.flatten(F.array(*[of(n) for n in range(widest, narrowest - 1, -1)]))
+    return df.select("*", F.explode(places).alias("x")).select("*", "x.i", "x.n", "x.w").drop("x")
+
+
+def _without(words: Column, i: Column, n: Column) -> Column:
+    """Words but for the ``n`` ones from place ``i`` on."""
+    return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + n, F.size(words)))
+
+
+def _with_makes(names: DataFrame, makes: DataFrame, models: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Adds ``makes``, the makes that the first words can mean (null: none), and ``rest``, the words but for theirs.
+
+    Two words before one, exact before misspelt; then the first word misspelt, shortened (its letters stand in a make's name in order, the
+    first one first) or as initials.
+    """
+    head = _windows(names.select("name", "words"), F.slice(F.col("words"), 1, 3), 2).where("i <= 2")
+    exact = head.join(makes.select(F.col("make").alias("w"), "make"), "w").select("name", "i", "n", F.lit(0).alias("wrong"), F.lit(0.0).alias("far"), "make")
+    spelt = _spelt(head, kinds, "make")
+    wrong = head.where("n = 2").join(spelt, "w").select("name", "i", "n", F.lit(1).alias("wrong"), (-F.col("cosine")).alias("far"), F.col("name_").alias("make"))
+    best = exact.unionByName(wrong).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "wrong", "far", "make")).alias("m"))
+    best = best.select("name", F.array("m.make").alias("makes"), F.col("m.i").alias("at"), (-F.col("m.wide")).alias("many"))
+    lone = names.select("name", F.get("words", F.lit(0)).alias("w")).where("w is not null").join(best, "name", "left_anti").join(models.select(F.col("model").alias("w")).distinct(), "w", "left_anti")
+    asked = lone.select("w").distinct()
+    long = asked.where(F.length("w") >= 3)
+    misspelt = long.join(spelt, "w").groupBy("w").agg(F.array(F.min(F.struct(-F.col("cosine"), "name_"))["name_"]).alias("makes"))
+    in_order = F.rlike("make", F.concat(F.lit("^"), F.array_join(F.split("w", ""), ".*")))
+    # blocked by the first letter
+    short = long.join(misspelt, "w", "left_anti").join(makes, F.substring("w", 1, 1) == F.substring("make", 1, 1)).where(in_order).groupBy("w").agg(F.array_sort(F.collect_set("make")).alias("makes"))
+    initials = asked.where(F.length("w") == 2).join(makes.select(F.col("initials").alias("w"), "make"), "w").groupBy("w").agg(F.array(F.min("make")).alias("makes"))
+    alone = lone.join(misspelt.unionByName(short).unionByName(initials), "w").select("name", "makes", F.lit(1).alias("at"), F.lit(1).alias("many"))
+    out = names.join(best.unionByName(alone), "name", "left")
+    return out.withColumn("rest", F.when(F.col("makes").isNull(), F.col("words")).otherwise(_without(F.col("words"), F.col("at"), F.col("many")))).drop("at", "many", "words")
+
+
+def _with_family(names: DataFrame, models: DataFrame, makes: DataFrame, trims: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Adds the family (``make``, ``model``) that the words name, exact names before misspelt and longer before shorter, and ``left``, the words but for it."""
+    windows = _windows(names.select("name", "makes", "rest"), F.col("rest"), WIDEST).drop("rest")
+    allowed = F.col("makes").isNull() | F.array_contains("makes", F.col("make"))
+    exact = windows.join(models.withColumn("w", F.col("model")), "w").where(allowed).groupBy("name", "i", "n").agg(F.count(F.lit(1)).alias("families"), F.min("make").alias("make"), F.min("model").alias("model")).where("families = 1")
+    exact = exact.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "make", "model")).alias("e"))
+    taken = trims.select(F.col("trim").alias("w")).unionByName(makes.select(F.col("make").alias("w"))).distinct()
+    open_ = windows.where(F.length("w") >= 4).join(taken, "w", "left_anti")
+    wrong = open_.join(_spelt(open_, kinds, "model"), "w").join(models.withColumn("name_", F.col("model")), "name_").where(allowed)
+    wrong = wrong.groupBy("name").agg(F.min(F.struct((-F.round("cosine", 9)).alias("far"), (-F.col("n")).alias("wide"), "i", "make", "model")).alias("s"))
+    j = names.join(exact, "name", "left").join(wrong, "name", "left")
+    pick = lambda c: F.coalesce(F.col(f"e.{c}"), F.when(F.col("e").isNull(), F.col(f"s.{c}")))
+    return j.where("e is not null or s is not null").select("name", "rest", pick("make").alias("make"), pick("model").alias("model"), pick("i").alias("at"), (-pick("wide")).alias("many")).select("name", "make", "model", _without(F.col("rest"), F.col("at"), F.col("many")).alias("left"))
+
+
+def _with_trim(named: DataFrame, versions: DataFrame, trims: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(name, make, model, trim) of names with one trim: exact ones, two words before one, trims of other families counting as a conflict; if
+    there is none, the family's own trim that a word misspells."""
+    windows = _windows(named.select("name", "make", "model", "left"), F.col("left"), 2)
+    hits = windows.join(trims.select(F.col("trim").alias("w")), "w").where("n = 1 or length(element_at(left, i)) > 1").select("name", "i", "n", "w")
+    by = W.partitionBy("name").orderBy("i")
+    double = hits.where("n = 2").withColumn("before", F.lag("i").over(by)).where("before is null or before < i - 1").select("name", "i", "w")
+    covered = double.select("name", F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("i"))
+    single = hits.where("n = 1").join(covered, ["name", "i"], "left_anti").select("name", "w")
+    found = double.select("name", "w").unionByName(single).groupBy("name").agg(F.min("w").alias("trim"), F.max("w").alias("last"))
+    own = versions.select("make", "model", F.col("trim").alias("name_")).distinct()
+    long = windows.where(F.length("w") >= 5)
+    best = long.join(_spelt(long, kinds, "trim"), "w").groupBy("name", "make", "model", "i", "n").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "name_"))["name_"].alias("name_"))
+    wrong = best.join(own, ["make", "model", "name_"]).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "name_"))["name_"].alias("spelt"))
+    j = named.join(found, "name", "left").join(wrong, "name", "left").where("trim is null or trim = last")
+    return j.withColumn("trim", F.coalesce("trim", "spelt")).where("trim is not null").select("name", "make", "model", "trim")
 
 
 def offered_versions(listings: DataFrame, versions: DataFrame) -> DataFrame:
     """(id, version_id) of every listing whose make, model and trim together tell one version.
 
-    Each different wording is matched once: its words are looked up among the rare tokens of the catalogue's names, then by
-    weighted cosine; numbers, drives, engines, powers and trims that conflict are vetoes; what is left must be one
-    version. Listings of a version are a cluster around it. The catalogue is held against MOST_SENT rows before it
-    is sent; a larger one is split into parts of that size, and a wording that several parts match tells no version.
-    Nulls are missing words; empty tables give no rows.
+    Each different wording loses its numbers and drives, and each different name that is left is matched once: its stretches of words
+    meet the catalogue's names where they are equal (a rare token) and otherwise by weighted cosine of their pieces
+    (``near_names``). A name confirmed so belongs to the cluster of one family and trim; numbers, drives, engines and
+    powers that conflict are vetoes, and what is left must be one version. Every step is a join or an aggregation over
+    different names, so the catalogue may be of any size and listings of one wording are one row. Nulls are missing words;
+    empty tables give no rows.
     """
-    names = ["version_id", "make", "model", "trim", "body", "drivetrain", "engine", "power_hp"]
-    n = versions.where("version_id is not null").count()
-    parts = max(1, math.ceil(n / MOST_SENT))
-    texts = listings.select("make", "model", "trim").groupBy("make", "model", "trim").agg(F.xxhash64("make", "model", "trim").alias("h")).drop("h")
-    out = None
-    for part in range(parts):
-        own = versions.where("version_id is not null and make is not null and model is not null").where(F.pmod(F.xxhash64("make", "model"), F.lit(parts)) == part).select(*names)
-        sent = listings.sparkSession.sparkContext.broadcast([r.asDict() for r in own.collect()])
-
-        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            catalogue = None
-            for b in batches:
-                catalogue = catalogue or Catalogue(sent.value)
-                cols = [b.column(i) for i in range(3)]
-                got = [catalogue.match(*x) for x in zip(*(c.to_pylist() for c in cols))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.int32())], names=["make", "model", "trim", "version_id"])
-
-        hit = texts.mapInArrow(match, "make string, model string, trim string, version_id int").where("version_id is not null")
-        out = hit if out is None else out.unionByName(hit)
-    if parts > 1:
-        out = out.groupBy("make", "model", "trim").agg(F.min("version_id").alias("version_id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return joined(listings.select("id", "make", "model", "trim"), out)
+    given = versions.where("version_id is not null and make is not null and model is not null")
+    litres = F.replace(F.regexp_extract("engine", r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
+    drive = F.when(F.upper("drivetrain") == "AWD", 1).when(F.upper("drivetrain") == "FWD", 2).when(F.upper("drivetrain") == "RWD", 4).otherwise(0)
+    v = given.select("version_id", bare(F.col("make")).alias("make"), bare(F.col("model")).alias("model"), F.coalesce(bare(F.col("trim")), F.lit("")).alias("trim"), drive.alias("v_drive"), F.coalesce(litres, F.lit(-1.0)).alias("v_litres"), F.coalesce(F.col("power_hp"), F.lit(0)).alias("v_power"))
+    v = durable(v)
+    initials = F.array_join(F.regexp_extract_all(F.lower("make"), F.lit("([a-z0-9])[a-z0-9]*"), F.lit(1)), "")
+    makes = given.select(bare(F.col("make")).alias("make"), initials.alias("initials")).groupBy("make").agg(F.min("initials").alias("initials"))
+    models, trims = v.select("make", "model").distinct(), v.where("trim <> ''").select("trim").distinct()
+    kinds = makes.select(F.col("make").alias("name"), F.lit("make").alias("kind")).unionByName(models.select(F.col("model").alias("name"), F.lit("model").alias("kind"))).unionByName(trims.select(F.col("trim").alias("name"), F.lit("trim").alias("kind"))).distinct()
+    said = durable(wordings(listings).withColumn("name", F.concat(F.array_join("words", " "), F.when(F.col("says_make"), F.lit("|")).otherwise(F.lit("")))))
+    names = durable(said.groupBy("name").agg(F.first("words").alias("words"), F.first("says_make").alias("says_make")))
+    made = durable(_with_makes(names, makes, models, kinds).where("makes is not null or not says_make"))
+    named = durable(_with_family(made, models, makes, trims, kinds))
+    trimmed = _with_trim(named, v, trims, kinds)
+    fit = (F.col("drives").isNull() | (F.col("drives").bitwiseAND(F.col("v_drive")) != 0)) & (F.col("litres").isNull() | (F.abs(F.col("v_litres") - F.col("litres")) < 0.05)) & (F.col("power").isNull() | (F.abs(F.col("v_power") - F.col("power")) <= 2.5))
+    clusters = said.join(trimmed.select("name", F.col("make").alias("c_make"), F.col("model").alias("c_model"), F.col("trim").alias("c_trim")), "name")
+    of = v.select(F.col("make").alias("c_make"), F.col("model").alias("c_model"), F.col("trim").alias("c_trim"), "version_id", "v_drive", "v_litres", "v_power")
+    told = clusters.join(of, ["c_make", "c_model", "c_trim"]).where(fit).groupBy("make", "model", "trim").agg(F.min("version_id").alias("version_id"), F.max("version_id").alias("last")).where("version_id = last").drop("last")
+    return joined(listings.select("id", "make", "model", "trim"), told)
 
 
 def joined(listings: DataFrame, texts: DataFrame) -> DataFrame:
