@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarrion.session import durable
@@ -66,8 +68,17 @@ def grams(word: Column) -> Column:
     return F.array_distinct(F.concat(pieces(2), pieces(3)))
 
 
-def near_names(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """(w, name, kind, cosine): for every asked word (w) the names (name, kind) that it misspells.
+def name_pieces(names: DataFrame) -> tuple[DataFrame, int]:
+    """(name, kind, g, weight, name_norm) of the pieces of names (name, kind), weighted by inverse frequency, and the number of different names."""
+    names = names.distinct()
+    total = names.select("name").distinct().count()
+    pieces = names.select("name", "kind", F.explode(grams(F.col("name"))).alias("g"))
+    pieces = pieces.withColumn("weight", F.log(1 + F.lit(total) / F.size(F.collect_set("name").over(W.partitionBy("g"))))).repartition("name")
+    return pieces.withColumn("name_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("name", "kind")))), total
+
+
+def near_names(asked: DataFrame, pieces: DataFrame, total: int, kind: str) -> DataFrame:
+    """(w, name_, cosine): for every asked word (w) the names of a kind that it misspells.
 
     Pieces of letters are the blocks: a word meets the names that share one, are at most two letters longer or shorter and have the
     same digits (numbers that conflict never meet). The cosine is weighted by the inverse frequency of the pieces
@@ -75,29 +86,22 @@ def near_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     on, where neighbouring letters exchanged are one.
     """
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    pieces = names.select("name").distinct().select("name", F.explode(grams(F.col("name"))).alias("g"))
-    total = names.select("name").distinct().agg(F.count(F.lit(1)).alias("total"))
-    weight = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("g", F.log(1 + F.col("total") / F.col("n")).alias("weight"), F.log(1.0 + F.col("total")).alias("most"))  # every piece by one row
-    pieces = pieces.join(weight, "g")
-    norms = pieces.groupBy("name").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("name_norm"))
-    own = asked.select("w", F.explode(grams(F.col("w"))).alias("g"))
-    most = weight.agg(F.max("most").alias("top"))
-    asked_norm = own.join(weight.select("g", "weight"), "g", "left").crossJoin(most).groupBy("w").agg(F.sqrt(F.sum(F.pow(F.coalesce("weight", "top"), F.lit(2)))).alias("norm"))
-    met = own.join(pieces.select("g", "name", "weight"), "g").where((F.abs(F.length("w") - F.length("name")) <= 2) & (digits(F.col("w")) == digits(F.col("name"))))
-    dots = met.groupBy("w", "name").agg(F.sum(F.col("weight") * F.col("weight")).alias("dot"))
-    close = dots.join(norms, "name").join(asked_norm, "w").withColumn("cosine", F.col("dot") / F.col("norm") / F.col("name_norm")).where(F.col("cosine") >= COSINE)
+    weights = pieces.select("g", "weight").distinct()
+    own = asked.select("w", F.explode(grams(F.col("w"))).alias("g")).join(weights, "g", "left")
+    own = own.withColumn("norm", F.sum(F.pow(F.coalesce("weight", F.lit(math.log(1 + total))), F.lit(2))).over(W.partitionBy("w"))).where("weight is not null").drop("weight")
+    met = own.join(pieces.where(F.col("kind") == kind), "g").where((F.abs(F.length("w") - F.length("name")) <= 2) & (digits(F.col("w")) == digits(F.col("name"))))
+    dots = met.groupBy("w", "name", "norm", "name_norm").agg(F.sum(F.col("weight") * F.col("weight")).alias("dot"))
+    close = dots.withColumn("cosine", F.col("dot") / F.sqrt("norm") / F.col("name_norm")).where(F.col("cosine") >= COSINE)
     edits = F.levenshtein("w", "name")
     letters = lambda c: F.array_sort(F.split(c, ""))
-    exchanged = letters(F.col("w")) == letters(F.col("name"))
     allowed = 1 + (F.least(F.length("w"), F.length("name")) >= 8).cast("int")
     # letters exchanged cost Levenshtein two and keep the letters' multiset
-    close = close.where((edits <= allowed) | (exchanged & (edits <= 2 * allowed)))
-    return close.join(names, "name").select("w", "name", "kind", "cosine")
+    return close.where((edits <= allowed) | ((edits <= 2 * allowed) & (letters(F.col("w")) == letters(F.col("name"))))).select("w", F.col("name").alias("name_"), "cosine")
 
 
-def _spelt(windows: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+def _spelt(windows: DataFrame, catalogue: tuple[DataFrame, int], kind: str) -> DataFrame:
     """(w, name_, cosine): the names of a kind that the different stretches of ``windows`` misspell."""
-    return durable(near_names(windows.select("w").distinct(), kinds).where(F.col("kind") == kind).select("w", F.col("name").alias("name_"), "cosine"))
+    return durable(near_names(windows.select("w").distinct(), *catalogue, kind))
 
 
 def _windows(df: DataFrame, words: Column, widest: int, narrowest: int = 1) -> DataFrame:
@@ -116,7 +120,7 @@ def _without(words: Column, i: Column, n: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + n, F.size(words)))
 
 
-def _with_makes(names: DataFrame, makes: DataFrame, models: DataFrame, kinds: DataFrame) -> DataFrame:
+def _with_makes(names: DataFrame, makes: DataFrame, models: DataFrame, catalogue: tuple[DataFrame, int]) -> DataFrame:
     """Adds ``makes``, the makes that the first words can mean (null: none), and ``rest``, the words but for theirs.
 
     Two words before one, exact before misspelt; then the first word misspelt, shortened (its letters stand in a make's name in order, the
@@ -124,7 +128,7 @@ def _with_makes(names: DataFrame, makes: DataFrame, models: DataFrame, kinds: Da
     """
     head = _windows(names.select("name", "words"), F.slice(F.col("words"), 1, 3), 2).where("i <= 2")
     exact = head.join(makes.select(F.col("make").alias("w"), "make"), "w").select("name", "i", "n", F.lit(0).alias("wrong"), F.lit(0.0).alias("far"), "make")
-    spelt = _spelt(head, kinds, "make")
+    spelt = _spelt(head, catalogue, "make")
     wrong = head.where("n = 2").join(spelt, "w").select("name", "i", "n", F.lit(1).alias("wrong"), (-F.col("cosine")).alias("far"), F.col("name_").alias("make"))
     best = exact.unionByName(wrong).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "wrong", "far", "make")).alias("m"))
     best = best.select("name", F.array("m.make").alias("makes"), F.col("m.i").alias("at"), (-F.col("m.wide")).alias("many"))
@@ -141,22 +145,23 @@ def _with_makes(names: DataFrame, makes: DataFrame, models: DataFrame, kinds: Da
     return out.withColumn("rest", F.when(F.col("makes").isNull(), F.col("words")).otherwise(_without(F.col("words"), F.col("at"), F.col("many")))).drop("at", "many", "words")
 
 
-def _with_family(names: DataFrame, models: DataFrame, makes: DataFrame, trims: DataFrame, kinds: DataFrame) -> DataFrame:
+def _with_family(names: DataFrame, models: DataFrame, makes: DataFrame, trims: DataFrame, catalogue: tuple[DataFrame, int]) -> DataFrame:
     """Adds the family (``make``, ``model``) that the words name, exact names before misspelt and longer before shorter, and ``left``, the words but for it."""
     windows = _windows(names.select("name", "makes", "rest"), F.col("rest"), WIDEST).drop("rest")
     allowed = F.col("makes").isNull() | F.array_contains("makes", F.col("make"))
     exact = windows.join(models.withColumn("w", F.col("model")), "w").where(allowed).groupBy("name", "i", "n").agg(F.count(F.lit(1)).alias("families"), F.min("make").alias("make"), F.min("model").alias("model")).where("families = 1")
     exact = exact.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "make", "model")).alias("e"))
     taken = trims.select(F.col("trim").alias("w")).unionByName(makes.select(F.col("make").alias("w"))).distinct()
-    open_ = windows.where(F.length("w") >= 4).join(taken, "w", "left_anti")
-    wrong = open_.join(_spelt(open_, kinds, "model"), "w").join(models.withColumn("name_", F.col("model")), "name_").where(allowed)
+    exact = durable(exact)
+    open_ = windows.where(F.length("w") >= 4).join(exact, "name", "left_anti").join(taken, "w", "left_anti")
+    wrong = open_.join(_spelt(open_, catalogue, "model"), "w").join(models.withColumn("name_", F.col("model")), "name_").where(allowed)
     wrong = wrong.groupBy("name").agg(F.min(F.struct((-F.round("cosine", 9)).alias("far"), (-F.col("n")).alias("wide"), "i", "make", "model")).alias("s"))
     j = names.join(exact, "name", "left").join(wrong, "name", "left")
     pick = lambda c: F.coalesce(F.col(f"e.{c}"), F.when(F.col("e").isNull(), F.col(f"s.{c}")))
     return j.where("e is not null or s is not null").select("name", "rest", pick("make").alias("make"), pick("model").alias("model"), pick("i").alias("at"), (-pick("wide")).alias("many")).select("name", "make", "model", _without(F.col("rest"), F.col("at"), F.col("many")).alias("left"))
 
 
-def _with_trim(named: DataFrame, versions: DataFrame, trims: DataFrame, kinds: DataFrame) -> DataFrame:
+def _with_trim(named: DataFrame, versions: DataFrame, trims: DataFrame, catalogue: tuple[DataFrame, int]) -> DataFrame:
     """(name, make, model, trim) of names with one trim: exact ones, two words before one, trims of other families counting as a conflict; if
     there is none, the family's own trim that a word misspells."""
     windows = _windows(named.select("name", "make", "model", "left"), F.col("left"), 2)
@@ -167,8 +172,9 @@ def _with_trim(named: DataFrame, versions: DataFrame, trims: DataFrame, kinds: D
     single = hits.where("n = 1").join(covered, ["name", "i"], "left_anti").select("name", "w")
     found = double.select("name", "w").unionByName(single).groupBy("name").agg(F.min("w").alias("trim"), F.max("w").alias("last"))
     own = versions.select("make", "model", F.col("trim").alias("name_")).distinct()
-    long = windows.where(F.length("w") >= 5)
-    best = long.join(_spelt(long, kinds, "trim"), "w").groupBy("name", "make", "model", "i", "n").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "name_"))["name_"].alias("name_"))
+    found = durable(found)
+    long = windows.where(F.length("w") >= 5).join(found, "name", "left_anti")
+    best = long.join(_spelt(long, catalogue, "trim"), "w").groupBy("name", "make", "model", "i", "n").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "name_"))["name_"].alias("name_"))
     wrong = best.join(own, ["make", "model", "name_"]).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("wide"), "i", "name_"))["name_"].alias("spelt"))
     j = named.join(found, "name", "left").join(wrong, "name", "left").where("trim is null or trim = last")
     return j.withColumn("trim", F.coalesce("trim", "spelt")).where("trim is not null").select("name", "make", "model", "trim")
@@ -191,13 +197,16 @@ def offered_versions(listings: DataFrame, versions: DataFrame) -> DataFrame:
     v = durable(v)
     initials = F.array_join(F.regexp_extract_all(F.lower("make"), F.lit("([a-z0-9])[a-z0-9]*"), F.lit(1)), "")
     makes = given.select(bare(F.col("make")).alias("make"), initials.alias("initials")).groupBy("make").agg(F.min("initials").alias("initials"))
-    models, trims = v.select("make", "model").distinct(), v.where("trim <> ''").select("trim").distinct()
-    kinds = makes.select(F.col("make").alias("name"), F.lit("make").alias("kind")).unionByName(models.select(F.col("model").alias("name"), F.lit("model").alias("kind"))).unionByName(trims.select(F.col("trim").alias("name"), F.lit("trim").alias("kind"))).distinct()
+    makes = durable(makes)
+    models, trims = durable(v.select("make", "model").distinct()), durable(v.where("trim <> ''").select("trim").distinct())
+    kinds = makes.select(F.col("make").alias("name"), F.lit("make").alias("kind")).unionByName(models.select(F.col("model").alias("name"), F.lit("model").alias("kind"))).unionByName(trims.select(F.col("trim").alias("name"), F.lit("trim").alias("kind")))
+    pieces, total = name_pieces(kinds)
+    catalogue = (durable(pieces), total)
     said = durable(wordings(listings).withColumn("name", F.concat(F.array_join("words", " "), F.when(F.col("says_make"), F.lit("|")).otherwise(F.lit("")))))
     names = durable(said.groupBy("name").agg(F.first("words").alias("words"), F.first("says_make").alias("says_make")))
-    made = durable(_with_makes(names, makes, models, kinds).where("makes is not null or not says_make"))
-    named = durable(_with_family(made, models, makes, trims, kinds))
-    trimmed = _with_trim(named, v, trims, kinds)
+    made = durable(_with_makes(names, makes, models, catalogue).where("makes is not null or not says_make"))
+    named = durable(_with_family(made, models, makes, trims, catalogue))
+    trimmed = _with_trim(named, v, trims, catalogue)
     fit = (F.col("drives").isNull() | (F.col("drives").bitwiseAND(F.col("v_drive")) != 0)) & (F.col("litres").isNull() | (F.abs(F.col("v_litres") - F.col("litres")) < 0.05)) & (F.col("power").isNull() | (F.abs(F.col("v_power") - F.col("power")) <= 2.5))
     clusters = said.join(trimmed.select("name", F.col("make").alias("c_make"), F.col("model").alias("c_model"), F.col("trim").alias("c_trim")), "name")
     of = v.select(F.col("make").alias("c_make"), F.col("model").alias("c_model"), F.col("trim").alias("c_trim"), "version_id", "v_drive", "v_litres", "v_power")

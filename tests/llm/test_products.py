@@ -1,7 +1,7 @@
 import math
 import random
 
-from quarrion.llm.products import near_names, offered_versions, wordings
+from quarrion.llm.products import name_pieces, near_names, offered_versions, wordings
 
 ROWS = [
     (1, "Norvane", "Ultra 2", "SE", "AWD", "1.2 L", 95), (2, "Norvane", "Ultra 2", "SE", "RWD", "1.2 L", 95), (3, "Norvane", "Ultra 2", "Premium Plus", "AWD", "2.4 L", 201), (4, "Norvane", "Ultra 2", "Premium", "AWD", "2.4 L", 201),
@@ -53,7 +53,7 @@ def test_near_names_against_all_pairs(spark):
         i = r.randrange(len(n) - 2)
         words |= {n[:i] + n[i + 1 :], n[:i] + "x" + n[i:], n[:i] + n[i + 1] + n[i] + n[i + 2 :], n[::-1]}
     words = sorted(words - set(names))
-    got = {(x.w, x.name): x.cosine for x in near_names(spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(n, "model") for n in names], "name string, kind string")).collect()}
+    got = {(x.w, x.name_): x.cosine for x in near_names(spark.createDataFrame([(w,) for w in words], "w string"), *name_pieces(spark.createDataFrame([(n, "model") for n in names], "name string, kind string")), "model").collect()}
     df = {}
     for n in names:
         for g in _pieces(n):
