@@ -12,6 +12,8 @@ from quarrion.session import durable
 COSINE = 0.2
 #: Words in a row that can be one name.
 WIDEST = 3
+#: Rows (of some fifty bytes) of the catalogue or of misspelt words up to which they are broadcast; more are joined by a shuffle.
+MOST_SENT = 100_000
 #: Spellings of drives with the drives they allow (1 all, 2 front, 4 rear), and units of power in horse power.
 DRIVES = [
     (1, r"\b(?:awd|4wd|4x4|4 ?x ?4|all[ -]wheel(?:[ -]drive)?|four[ -]wheel(?:[ -]drive)?|quattro)\b"),
@@ -29,6 +31,12 @@ _CUBIC = r"(?i)\b(\d{3,4})\s*(?:ccm|cm3|cc)\b"
 _LITRE = r"(?i)\b(\d)[.,](\d)\s*(?:l\b|liter\b|litre\b|-liter\b|-litre\b|l?(?=[\s/,;-]|$))"
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A kept table that is broadcast if it was counted to hold no more than MOST_SENT rows."""
+    small = durable(small)
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def bare(text: Column) -> Column:
     """The letters and digits of a text, in lower case."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
@@ -101,7 +109,7 @@ def near_names(asked: DataFrame, pieces: DataFrame, total: int, kind: str) -> Da
 
 def _spelt(windows: DataFrame, catalogue: tuple[DataFrame, int], kind: str) -> DataFrame:
     """(w, name_, cosine): the names of a kind that the different stretches of ``windows`` misspell."""
-    return durable(near_names(windows.select("w").distinct(), *catalogue, kind))
+    return _sent(near_names(windows.select("w").distinct(), *catalogue, kind))
 
 
 def _windows(df: DataFrame, words: Column, widest: int, narrowest: int = 1) -> DataFrame:
@@ -194,14 +202,14 @@ def offered_versions(listings: DataFrame, versions: DataFrame) -> DataFrame:
     litres = F.replace(F.regexp_extract("engine", r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
     drive = F.when(F.upper("drivetrain") == "AWD", 1).when(F.upper("drivetrain") == "FWD", 2).when(F.upper("drivetrain") == "RWD", 4).otherwise(0)
     v = given.select("version_id", bare(F.col("make")).alias("make"), bare(F.col("model")).alias("model"), F.coalesce(bare(F.col("trim")), F.lit("")).alias("trim"), drive.alias("v_drive"), F.coalesce(litres, F.lit(-1.0)).alias("v_litres"), F.coalesce(F.col("power_hp"), F.lit(0)).alias("v_power"))
-    v = durable(v)
+    v = _sent(v)
     initials = F.array_join(F.regexp_extract_all(F.lower("make"), F.lit("([a-z0-9])[a-z0-9]*"), F.lit(1)), "")
     makes = given.select(bare(F.col("make")).alias("make"), initials.alias("initials")).groupBy("make").agg(F.min("initials").alias("initials"))
-    makes = durable(makes)
-    models, trims = durable(v.select("make", "model").distinct()), durable(v.where("trim <> ''").select("trim").distinct())
+    makes = _sent(makes)
+    models, trims = _sent(v.select("make", "model").distinct()), _sent(v.where("trim <> ''").select("trim").distinct())
     kinds = makes.select(F.col("make").alias("name"), F.lit("make").alias("kind")).unionByName(models.select(F.col("model").alias("name"), F.lit("model").alias("kind"))).unionByName(trims.select(F.col("trim").alias("name"), F.lit("trim").alias("kind")))
     pieces, total = name_pieces(kinds)
-    catalogue = (durable(pieces), total)
+    catalogue = (_sent(pieces), total)
     said = durable(wordings(listings).withColumn("name", F.concat(F.array_join("words", " "), F.when(F.col("says_make"), F.lit("|")).otherwise(F.lit("")))))
     names = durable(said.groupBy("name").agg(F.first("words").alias("words"), F.first("says_make").alias("says_make")))
     made = durable(_with_makes(names, makes, models, catalogue).where("makes is not null or not says_make"))
