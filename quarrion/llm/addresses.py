@@ -49,7 +49,7 @@ def distance(a: str, b: str) -> int:
 
 
 def parse(address: str | None, cities: tuple[str | None, ...] = ()) -> dict | None:
-    """Number, street (letters without blanks, or a kind of road with its number), type, side and unit of an address.
+    """Number, street (letters without blanks, or a kind of road with its number), its ``words`` in alphabetical order, type, side and unit of an address.
 
     Missing parts are ''. Anything without a number or a street gives None. Components are told by what they are, not
     by where they stand; the record's own city, a state and a postcode at the end are dropped.
@@ -88,41 +88,54 @@ def parse(address: str | None, cities: tuple[str | None, ...] = ()) -> dict | No
                 else:
                     words.append(re.sub(r"[^a-z0-9]", "", t))
         done = done or bool(words)
+    in_order = " ".join(sorted(w for w in words if w)) if not street else street
     street = street or "".join(words)
     if not number or not street:
         return None
-    return {"number": str(int(number)), "street": street, "kind": kind, "side": side, "unit": str(unit[1]).lstrip("0") if unit else ""}
+    return {"number": str(int(number)), "street": street, "words": in_order, "kind": kind, "side": side, "unit": str(unit[1]).lstrip("0") if unit else ""}
 
 
-def deletions(word: str, letters: int = 1) -> list[str]:
+def deletions(word: Column, letters: int = 1) -> Column:
     """The word and what is left of it without so many letters: words as many edits or exchanges apart have one in common.
 
     Roads with a number have themselves alone, since another number is another road.
     """
-    forms = {word}
-    if not any(c.isdigit() for c in word):
-        for _ in range(letters):
-            forms |= {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
-    return sorted(forms)
+    forms = F.array(word)
+    for _ in range(letters):
+        less = F.flatten(F.transform(forms, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+        forms = F.array_distinct(F.concat(forms, less))
+    return F.when(word.rlike("[0-9]"), F.array(word)).otherwise(forms)
+
+
+def assigned(a: str, b: str) -> int:
+    """Edits between two streets, words in alphabetical order, under the best assignment of their words to each other.
+
+    As many words on both sides are assigned in every order up to four words, more in their alphabetical order; a
+    different number of words is one word split, so the letters are compared as they stand.
+    """
+    x, y = a.split(" "), b.split(" ")
+    if len(x) != len(y) or len(x) > 4:
+        return distance("".join(x), "".join(y))
+    return min(sum(distance(v, w) for v, w in zip(x, o)) for o in permutations(y))
 
 
 def parts_agree(a: dict, b: dict) -> bool:
     """Whether two parsed addresses can be the same street: the best assignment of their components leaves no conflict.
 
-    Numbers and units that differ are a veto, a missing unit is not. Words are assigned to each other in every order
-    and the cheapest taken; a type or side that one lacks costs nothing, two different ones are a veto.
+    Numbers and units that differ are a veto, a missing unit is not. A type or side that one lacks costs nothing,
+    two different ones are a veto.
     """
     if a["number"] != b["number"] or (a["unit"] and b["unit"] and a["unit"] != b["unit"]):
         return False
     if any(a[p] and b[p] and a[p] != b[p] for p in ("kind", "side")):
         return False
-    x, y = a["street"].split(" "), b["street"].split(" ")
-    cost = min(distance("".join(x), "".join(o)) for o in permutations(y)) if len(y) <= 4 else distance("".join(x), "".join(y))
+    cost = min(distance(a["street"], b["street"]), assigned(a["words"], b["words"]))
     return cost <= (0 if any(c.isdigit() for c in a["street"] + b["street"]) else 1 + (min(len(a["street"]), len(b["street"])) >= 9))
 
 
 def locality(records: DataFrame, zips: DataFrame) -> DataFrame:
-    """Adds ``place`` (city and state as in ``zips``): by the five-digit postcode, else by the city's name, one edit allowed.
+    """Adds ``place`` (city and state as in ``zips``): by the five-digit postcode, else by the city's name, one edit allowed;
+    and ``beside``, the place of the city's name where it is another one than the postcode's.
 
     A city name that matches nothing is a place of its own; without either the place is null. ``zips`` has a row per
     postcode; Spark's own threshold decides on its broadcast.
@@ -137,23 +150,49 @@ def locality(records: DataFrame, zips: DataFrame) -> DataFrame:
     best = asked.select("said", "st", F.explode(left(F.col("said"))).alias("form")).join(spelt, ["st", "form"]).groupBy("said", "st").agg(F.min(F.struct(F.levenshtein("said", "name").alias("d"), "name")).alias("b")).select("said", "st", F.concat("b.name", F.lit("|"), "st").alias("by_name"))
     out = records.withColumns({"zip5": five, "said": letters(F.col("city")), "st": F.upper("state")}).join(by_zip, "zip5", "left").join(best, ["said", "st"], "left")
     own = F.when(F.col("said") != "", F.concat("said", F.lit("|"), F.coalesce("st", F.lit(""))))
-    return out.withColumn("place", F.coalesce("by_zip", "by_name", own)).drop("said", "st", "zip5")
+    return out.withColumn("place", F.coalesce("by_zip", "by_name", own)).withColumn("beside", F.when(F.col("by_name") != F.col("by_zip"), F.col("by_name"))).drop("said", "st", "zip5")
 
 
-PARSED = "number string, street string, kind string, side string, unit string"
+PARTS = ("number", "street", "words", "kind", "side", "unit")
+PARSED = ", ".join(f"{p} string" for p in PARTS)
+#: Degrees, either way, within which the places of a record's postcode and of its city are neighbours.
+NEIGHBOURS = 0.5
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """(key, place, number, street, kind, side, unit) of the records (key, place, address, city, zip_city) with a usable address."""
+    """(key, place, beside, and PARTS) of the records (key, place, beside, address, city, zip_city) with a usable address."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, p, parse(a, (c, z))) for k, p, a, c, z in zip(*(b.column(i).to_pylist() for i in range(5)))]
-            rows = [(k, p, x) for k, p, x in rows if x]
-            cols = [[k for k, _, _ in rows], [p for _, p, _ in rows], *([x[f] for _, _, x in rows] for f in ("number", "street", "kind", "side", "unit"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "place", "number", "street", "kind", "side", "unit"])
+            rows = [(k, p, n, parse(a, (c, z))) for k, p, n, a, c, z in zip(*(b.column(i).to_pylist() for i in range(6)))]
+            rows = [x for x in rows if x[3]]
+            cols = [*([x[i] for x in rows] for i in range(3)), *([x[3][f] for x in rows] for f in PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "place", "beside", *PARTS])
+
+    return records.select("key", "place", "beside", "address", "city", "zip_city").mapInArrow(read, f"key string, place string, beside string, {PARSED}")
 
-    return records.select("key", "place", "address", "city", "zip_city").mapInArrow(read, f"key string, place string, {PARSED}")
+
+def neighbouring(zips: DataFrame) -> DataFrame:
+    """(place, beside) of every two places with postcodes within NEIGHBOURS degrees of each other, met on a grid of that size."""
+    letters = F.regexp_replace(F.lower(F.coalesce("city", F.lit(""))), "[^a-z]", "")
+    at = zips.where("lat is not null and lng is not null").select(F.concat(letters, F.lit("|"), F.upper("state")).alias("p"), "lat", "lng")
+    cell = lambda i, j: F.struct((F.floor(F.col("lat") / NEIGHBOURS) + i).alias("x"), (F.floor(F.col("lng") / NEIGHBOURS) + j).alias("y"))
+    a = at.select(F.col("p").alias("place"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), cell(0, 0).alias("cell"))
+    b = at.select(F.col("p").alias("beside"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.explode(F.array(*[cell(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell"))
+    near = (F.abs(F.col("lat1") - F.col("lat2")) <= NEIGHBOURS) & (F.abs(F.col("lng1") - F.col("lng2")) <= NEIGHBOURS)
+    return a.join(b, "cell").where(near & (F.col("place") != F.col("beside"))).select("place", "beside").distinct()
+
+
+def _placed(rows: DataFrame, zips: DataFrame) -> DataFrame:
+    """Rows without ``beside``: a record whose postcode and city name two neighbouring places lies in the city's if
+    only there another record has its number and street, one letter apart allowed; otherwise in the postcode's."""
+    form = lambda df, at: df.select("key", F.col(at).alias("at"), "number", F.explode(deletions(F.col("street"))).alias("form"))
+    doubtful = durable(rows.where("beside is not null").join(neighbouring(zips), ["place", "beside"], "left_semi"))
+    known = rows.where("beside is null").join(doubtful.select("number").distinct(), "number", "left_semi")
+    known = durable(form(known, "place").select("at", "number", "form").distinct())
+    at = lambda c: form(doubtful, c).join(known, ["at", "number", "form"], "left_semi").select("key").distinct()
+    moved = at("beside").join(at("place"), "key", "left_anti").withColumn("moves", F.lit(True))
+    return rows.join(moved, "key", "left").withColumn("place", F.when(F.col("moves"), F.col("beside")).otherwise(F.col("place"))).drop("beside", "moves")
 
 
 def _settled(rows: DataFrame, at: list[str], part: str) -> DataFrame:
@@ -168,14 +207,27 @@ def _settled(rows: DataFrame, at: list[str], part: str) -> DataFrame:
 def _named(nodes: DataFrame, letters: int, apart: int) -> DataFrame:
     """(place, number, street, name): each street's best neighbour in the index of deletions, taken twice.
 
-    Only the best of a form is looked at, so a form that many streets share is aggregated and never paired.
+    The index holds a street's letters as written and, of several words, in their alphabetical order; a number with one street needs none. Different streets of one place and number that share a
+    form meet, all of them, and are neighbours if their letters are ``apart`` or fewer edits from each other, as written or under the best
+    assignment of their words; each different pair of spellings is assigned once.
     """
-    forms = F.udf(lambda w: deletions(w, letters), "array<string>")
-    index = durable(nodes.select("place", "number", "street", F.struct("everywhere", "here", "street").alias("rank"), F.explode(forms("street")).alias("form")))
-    top = index.groupBy("place", "number", "form").agg(F.max("rank").alias("rank"))
-    near = index.drop("rank").join(top, ["place", "number", "form"]).where(F.levenshtein("street", "rank.street") <= apart)
-    to = near.groupBy("place", "number", "street").agg(F.max("rank").alias("rank")).select("place", "number", "street", F.col("rank.street").alias("name"))
-    to = durable(to)
+    rank = F.struct("everywhere", "here", "street").alias("rank")
+    both = F.array_distinct(F.concat(deletions(F.col("street"), letters), F.transform(deletions(F.replace("words", F.lit(" "), F.lit("")), letters), lambda f: F.concat(F.lit("~"), f))))
+    several = nodes.groupBy("place", "number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", "number")
+    index = durable(nodes.join(several, ["place", "number"], "left_semi").select("place", "number", "street", "words", rank, F.explode(F.when(F.contains("words", F.lit(" ")), both).otherwise(deletions(F.col("street"), letters))).alias("form")))
+    other = index.select("place", "number", "form", F.col("rank").alias("rank_b"), F.col("words").alias("words_b"))
+    met = index.join(other, ["place", "number", "form"]).where("rank.street <> rank_b.street").select("place", "number", "street", "words", "rank_b", "words_b").distinct()
+    met = durable(met.withColumn("edits", F.levenshtein("street", "rank_b.street")))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cost = [assigned(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cost, pa.int32())], names=["words", "words_b", "cost"])
+
+    costs = met.where(F.col("edits") > apart).select("words", "words_b").distinct().mapInArrow(assign, "words string, words_b string, cost int")
+    near = met.join(costs, ["words", "words_b"], "left").where((F.col("edits") <= apart) | (F.col("cost") <= apart)).select("place", "number", "street", F.col("rank_b").alias("rank"))
+    own = nodes.select("place", "number", "street", rank)
+    to = durable(near.unionByName(own).groupBy("place", "number", "street").agg(F.max("rank").alias("rank")).select("place", "number", "street", F.col("rank.street").alias("name")))
     again = to.select("place", "number", F.col("street").alias("name"), F.col("name").alias("name2"))
     return to.join(again, ["place", "number", "name"], "left").select("place", "number", "street", F.coalesce("name2", "name").alias("name"))
 
@@ -188,7 +240,7 @@ def _streets(rows: DataFrame) -> DataFrame:
     at a number, the names are compared once more with two letters deleted, for records that both hold an error.
     """
     counts = rows.groupBy("street").agg(F.count(F.lit(1)).alias("everywhere"))
-    nodes = durable(rows.groupBy("place", "number", "street").agg(F.count(F.lit(1)).alias("here")).join(counts, "street"))
+    nodes = durable(rows.groupBy("place", "number", "street").agg(F.count(F.lit(1)).alias("here"), F.min("words").alias("words")).join(counts, "street"))
     first = durable(_named(nodes, 1, 2))
     several = first.groupBy("place", "number").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("place", "number")
     left = nodes.join(first.select("place", "number", F.col("name").alias("street")).distinct(), ["place", "number", "street"], "left_semi").join(several, ["place", "number"], "left_semi")
@@ -204,7 +256,8 @@ def locations(records: DataFrame, zips: DataFrame) -> DataFrame:
     it stays open, a location of its own. Records without a usable address are left out.
     """
     rows = durable(parsed(locality(records, zips)).where("place is not null").distinct())
-    rows = durable(rows.join(_streets(rows), ["place", "number", "street"]).drop("street"))
+    rows = durable(_placed(rows, zips))
+    rows = durable(rows.join(_streets(rows), ["place", "number", "street"]).drop("street", "words"))
     at = ["place", "number", "name"]
     rows = durable(_settled(_settled(rows, [*at, "side"], "kind"), [*at, "kind"], "side"))
     rows = _settled(_settled(rows, at, "kind"), [*at, "kind"], "side")

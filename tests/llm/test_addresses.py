@@ -1,8 +1,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarrion.llm.addresses import deletions, distance, parse, parts_agree, same_location
+from quarrion.llm.addresses import assigned, deletions, distance, parse, parts_agree, same_location
 
 CASES = [
     ("6362 TX-1400 E", "6362 sh1400 numbered e "), ("ST HWY 1300 S, 8205", "8205 sh1300 numbered s "), ("7029, Granitestead Pky (#130)", "7029 granitestead parkway  130"), ("NO. ORCHARDCREST RD., 3267", "3267 orchardcrest road n "),
@@ -21,8 +22,27 @@ def test_parse_unusable():
     assert parse(None) is None and parse("") is None and parse("Call for address") is None and parse("12") is None and parse("9" * 5000) is None
 
 
+def test_deletions(spark):
+    got = spark.createDataFrame([("jackalewll",), ("jackalwell",), ("fm300",), ("ab",)], "w string").select(deletions(F.col("w")).alias("one"), deletions(F.col("w"), 2).alias("two")).collect()
+    assert set(got[0].one) & set(got[1].one) and got[2].one == got[2].two == ["fm300"] and set(got[3].two) == {"ab", "a", "b", ""}
+
+
+def test_assignment():
+    assert assigned("mill oak", "mill oak") == 0 and assigned("mill oak", "mil oak") == 1 and assigned("aok mill", "mill oak") == 1 and assigned("oakmill", "mill oak") > 3
+    a = parse("12 Mill Oak St")
+    assert parts_agree(a, parse("12 Oak Mill St")) and parts_agree(a, parse("12 Oak Mil Street")) and not parts_agree(a, parse("12 Oak Hill Top St"))
+
+
+def test_order_and_neighbours(spark):
+    """Words in another order meet; a record whose postcode is the neighbouring place's is found where its city says; a far one is not."""
+    zips = spark.createDataFrame([("70001", 30.0, -95.0, "Ivesholm", "TX"), ("70002", 30.2, -95.1, "Dunton", "TX"), ("70003", 35.0, -95.0, "Farley", "TX")], "zip string, lat double, lng double, city string, state string")
+    rows = [(1, "12 Mill Oak St", "Ivesholm", "TX", "70001"), (2, "12 Oak Mill St", "Ivesholm", "TX", "70001"), (3, "12 Mil Oak St", "Ivesholm", "TX", "70002"), (4, "12 Oak Mill St", "Ivesholm", "TX", "70003"), (5, "12 Oak Mill St", "Dunton", "TX", None), (6, "44 Elm Ct", "Ivesholm", "TX", "70002"), (7, "44 Elm Ct", "Ivesholm", "TX", "70001"), (8, "45 Elm Ct", "Ivesholm", "TX", "70002"), (9, "45 Elm Ct", "Dunton", "TX", "70002")]
+    df = spark.createDataFrame(rows, "id long, address string, city string, state string, zip string")
+    got = {tuple(int(k.split(":")[1]) for k in r) for r in same_location({"t": df}, zips).collect()}
+    assert got == {(1, 2), (3, 5), (6, 7), (8, 9)} or got == {(1, 2), (1, 3), (2, 3), (6, 7), (8, 9)}, got
+
+
 def test_index_and_vetoes():
-    assert set(deletions("jackalewll")) & set(deletions("jackalwell")) and deletions("fm300") == ["fm300"]
     assert distance("abcd", "acbd") == 1 and distance("", "ab") == 2
     a = parse("12 Oak Mill St #4")
     assert parts_agree(a, parse("12 Oakmil Street")) and not parts_agree(a, parse("12 Oakmill St #5")) and not parts_agree(a, parse("12 Oakmill Ave")) and not parts_agree(a, parse("13 Oakmill St"))
