@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarrion.llm.addresses import same_location
 from quarrion.llm.components import listing_groups
-from quarrion.llm.entities import matched
+from quarrion.llm.entities import SURE, matched
 from quarrion.llm.leaks import leaked
 from quarrion.llm.products import offered_versions
 from quarrion.llm.residue import residue
@@ -15,7 +15,7 @@ SOURCES = ("tx_directory", "state_registry", "dealerships")
 
 
 def _entities(s, d):
-    return matched({n: table(s, d, n) for n in SOURCES}, table(s, d, "osm_sample"), table(s, d, "zip_coords"))
+    return matched({n: table(s, d, n) for n in SOURCES}, table(s, d, "osm_sample"), table(s, d, "zip_coords")).where(f"confidence >= {SURE}")
 
 
 QUERIES = {
