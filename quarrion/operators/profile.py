@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from quarrion.session import durable
+
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 #: Share of rows a mask must have in a column's ordinary loads; below it a value violates the pattern.
@@ -57,10 +59,10 @@ def mask_counts(df: DataFrame, by: list[str], columns: list[str], week: Column |
     """(by, column_name, mask, n): how often each mask occurs; the mask of null is null.
 
     One pass over the named columns with partial aggregation before the only shuffle; a hot group arrives as one row
-    per mask and task.
+    per mask and task. The counts are kept, since shares and divergences read them several times.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _mask(df, c, week).alias("mask")) for c in columns]))
-    return df.select(*by, cells.alias("c")).groupBy(*by, "c.column_name", "c.mask").count().withColumnRenamed("count", "n")
+    return durable(df.select(*by, cells.alias("c")).groupBy(*by, "c.column_name", "c.mask").count().withColumnRenamed("count", "n"))
 
 
 def column_stats(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
