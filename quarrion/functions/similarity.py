@@ -49,3 +49,31 @@ def _column(f):
 
 
 ratio_of, token_sort_of, token_set_of = _column(ratio), _column(token_sort), _column(token_set)
+
+
+def common_sql(a: str, b: str) -> str:
+    """The longest common subsequence's length of two texts as DuckDB says it, by folding the rows of the table."""
+    row = f"list_transform(range(0, length({b}) + 1), lambda i: 0::BIGINT)"
+    cell = f"list_append(acc, CASE WHEN unicode(substr({b}, j[1], 1)) = x[1] THEN row_[j[1]] + 1 ELSE greatest(row_[j[1] + 1], acc[-1]) END)"
+    inner = f"list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda acc, j: {cell})"
+    return f"list_reduce(list_prepend({row}, list_transform(list_filter(string_split({a}, ''), lambda c: c <> ''), lambda c: [unicode(c)::BIGINT])), lambda row_, x: {inner})[-1]"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    """``ratio`` as DuckDB says it."""
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 200.0::DOUBLE * {common_sql(a, b)} / (length({a}) + length({b})) END)"
+
+
+def sorted_sql(a: str) -> str:
+    """A text's words in order, as DuckDB says it."""
+    return f"array_to_string(list_sort(list_filter(string_split_regex({a}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def token_set_sql(a: str, b: str) -> str:
+    """``token_set`` as DuckDB says it."""
+    words = lambda t: f"list_sort(list_distinct(list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> '')))"
+    x, y = words(a), words(b)
+    both, left, right = f"list_filter({x}, lambda w: list_contains({y}, w))", f"list_filter({x}, lambda w: NOT list_contains({y}, w))", f"list_filter({y}, lambda w: NOT list_contains({x}, w))"
+    s, l, r = (f"array_to_string({v}, ' ')" for v in (both, f"list_concat({both}, {left})", f"list_concat({both}, {right})"))
+    best = f"greatest({ratio_sql(l, r)}, CASE WHEN len({both}) > 0 THEN greatest({ratio_sql(s, l)}, {ratio_sql(s, r)}) ELSE 0.0 END)"
+    return f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE WHEN len({both}) > 0 AND (len({left}) = 0 OR len({right}) = 0) THEN 100.0::DOUBLE ELSE {best} END)"

@@ -30,11 +30,36 @@ def has_www(url: Column) -> Column:
     return url.rlike(r"(?i)^\s*(https?:)?//www\.")
 
 
+#: Makes of two words, drives and bodies as they stand in slugs, and the range of years.
+TWO_WORDS = ("land rover", "alfa romeo", "aston martin", "mercedes benz", "rolls royce")
+SLUG_DRIVES = ("awd", "fwd", "rwd", "4wd", "2wd", "4x4", "4x2")
+BODIES = ("sport utility", "4dr car", "2dr car", "3dr car", "5dr car", "4dr suv", "crew cab", "extended cab", "quad cab", "mega cab", "regular cab", "double cab", "king cab", "access cab", "passenger van", "cargo van", "convertible", "coupe", "sedan", "hatchback", "wagon", "pickup", "minivan", "van", "suv", "car")
+YEARS = (1950, 2039)
+
+
+def _cased(word: Column) -> Column:
+    return F.when((F.length(word) <= 3) | word.rlike("[0-9]"), F.upper(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1000)))
+
+
 def slug_parts(url: Column) -> Column:
-    """(year, words) of a detail page's slug such as ``2019-honda-civic-lx-12345``: the delimited year from 1950 to 2039 and the
-    words behind it, without a number of four digits or more, or a vin, at the end. Null without such a year.
+    """(year, make, model) of a detail page's slug such as ``used-2019-honda-civic-sedan-123456``.
+
+    The first path segment with a delimited year counts. Behind it, numbers of five digits or more and vins at the end, drives, and one
+    body at the end are dropped; the make is the first word or two; short and numeric words are joined to the model by a hyphen and
+    written in capitals. Without a year all three are null.
     """
-    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
-    found = F.regexp_extract(path, r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$", 1)
-    words = F.regexp_extract(path, r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$", 2)
-    return F.struct(found.try_cast("int").alias("year"), F.when(found != "", F.regexp_replace(words, "[-_]+", " ")).alias("words"))
+    is_year = lambda w: (F.length(w) == 4) & F.coalesce(w.try_cast("int").between(*YEARS), F.lit(False))
+    path = F.regexp_replace(F.lower(F.regexp_replace(url, r"[?#].*$", "")), r"^[a-z][a-z0-9+.-]*://[^/]*", "")
+    segments = F.transform(F.split(path, "/"), lambda g: F.split(g, "[-_]"))
+    seg = F.get(F.filter(segments, lambda g: F.exists(g, is_year)), F.lit(0))
+    year = F.get(F.filter(seg, is_year), F.lit(0))
+    behind = F.array_join(F.slice(seg, F.array_position(seg, year).cast("int") + 1, F.size(seg)), " ")
+    told = F.regexp_replace(F.trim(F.regexp_replace(behind, "[^a-z0-9]+", " ")), "(?:(?:^| )(?:[0-9]{5,}|[a-hj-npr-z0-9]{17}))+$", "")
+    words = F.split(told, " ")
+    two = F.array_join(F.slice(words, 1, 2), " ").isin(*TWO_WORDS)
+    make = F.slice(words, F.lit(1), F.when(two, 2).otherwise(1))
+    rest = F.filter(F.slice(words, F.when(two, 3).otherwise(2), F.size(words)), lambda w: ~w.isin(*SLUG_DRIVES))
+    left = F.split(F.trim(F.regexp_replace(F.array_join(rest, " "), f"(?:^| )(?:{'|'.join(BODIES)})$", "")), " ")
+    tail = F.transform(F.slice(left, F.lit(2), F.size(left)), lambda w: F.concat(F.when(w.rlike("^[0-9]+$") | (F.length(w) <= 2), F.lit("-")).otherwise(F.lit(" ")), _cased(w)))
+    model = F.concat(_cased(F.get(left, F.lit(0))), F.array_join(tail, ""))
+    return F.struct(year.try_cast("int").alias("year"), F.nullif(F.array_join(F.transform(make, _cased), " "), F.lit("")).alias("make"), F.nullif(model, F.lit("")).alias("model"))

@@ -48,3 +48,12 @@ def reorigin(points: DataFrame, lat: float, lng: float, tag: str) -> DataFrame:
     """Every point with coordinates gets its distance from a new origin and its tag; others keep theirs."""
     d = with_miles(points.withColumns({"_a": F.lit(float(lat)), "_b": F.lit(float(lng))}), "_a", "_b", "lat", "lng").drop("_a", "_b")
     return d.withColumns({"distance_mi": F.round("miles", 1), "location_tag": F.when(F.col("miles").isNotNull(), F.lit(tag))}).drop("miles")
+
+
+def registry_in_radius(registry: DataFrame, zips: DataFrame, lat: float, lng: float, miles: float) -> DataFrame:
+    """Candidates of a registry, named by trade name, at their postcode's centre within a distance; only states with a postcode there are read."""
+    near = in_radius(zips, lat, lng, miles)
+    rows = registry.join(near.select("state").distinct(), "state", "left_semi")
+    placed = zip_lookup(rows, zips).where("zip_lat is not null").drop("lat", "lng").withColumnsRenamed({"zip_lat": "lat", "zip_lng": "lng"})
+    name = F.coalesce(F.nullif(F.trim("dba"), F.lit("")), F.col("name"))
+    return in_radius(placed.withColumn("name", name).withColumn("source_id", F.col("license_no")), lat, lng, miles)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarrion.functions.similarity import token_set_of, token_sort_of
 from quarrion.operators.graph import components
+from quarrion.session import durable
 
 
 def key_groups(rows: DataFrame, key: str, id_: str = "id") -> DataFrame:
@@ -64,15 +65,24 @@ def fuzzy_pairs(rows: DataFrame, block: list[str]) -> DataFrame:
     return met.where(cheap).where(texts).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def guarded_groups(pairs: DataFrame, rows: DataFrame, block: list[str]) -> DataFrame:
+#: Pairs of a component up to which one task works through them in order; larger components are worked through by rounds.
+MOST_PAIRS = 50_000
+
+
+def guarded_groups(pairs: DataFrame, rows: DataFrame, block: list[str], most: int = MOST_PAIRS) -> DataFrame:
     """(id, group_id) by joining pairs in order of ids unless that would put two vins into a group.
 
-    The result depends on the order, so a component of the pairs is worked through in one piece; components, not blocks,
-    are gathered, and only their rows that have a pair.
+    A component of the pairs with at most one vin is a group whatever the order. Others depend on it: up to ``most`` pairs are worked through in one
+    piece; a larger component is worked through by ``_by_rounds``, with the same result. ``block`` is not needed for the result.
     """
-    parts = components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    parts = durable(components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     vins = rows.select("id", F.upper(F.trim(F.coalesce("vin", F.lit("")))).alias("vin"))
-    edges = pairs.join(parts.withColumnRenamed("id", "id_a"), "id_a").join(vins.select(F.col("id").alias("id_a"), F.col("vin").alias("vin_a")), "id_a").join(vins.select(F.col("id").alias("id_b"), F.col("vin").alias("vin_b")), "id_b")
+    members = durable(parts.join(vins, "id"))
+    sizes = pairs.join(parts.withColumnRenamed("id", "id_a"), "id_a").groupBy("root").agg(F.count(F.lit(1)).alias("pairs"))
+    kinds = durable(members.groupBy("root").agg(F.min(F.when(F.col("vin") != "", F.col("vin"))).alias("low"), F.max("vin").alias("high")).join(sizes, "root").select("root", "pairs", F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("mixed")))
+    plain = members.join(kinds.where("not mixed"), "root").select("id", F.col("root").alias("group_id"))
+    edges = pairs.join(parts.withColumnRenamed("id", "id_a"), "id_a").join(kinds.where("mixed"), "root").join(vins.select(F.col("id").alias("id_a"), F.col("vin").alias("vin_a")), "id_a").join(vins.select(F.col("id").alias("id_b"), F.col("vin").alias("vin_b")), "id_b")
+    edges = durable(edges.select("root", "pairs", "id_a", "vin_a", "id_b", "vin_b"))
 
     def unite(part: pd.DataFrame) -> pd.DataFrame:
         up, vin = {}, {}
@@ -93,21 +103,51 @@ def guarded_groups(pairs: DataFrame, rows: DataFrame, block: list[str]) -> DataF
                 up[y], vin[x] = x, vin[x] or vin[y]
         return pd.DataFrame({"id": list(up), "group_id": [top(i) for i in up]})
 
-    groups = edges.groupBy("root").applyInPandas(unite, "id long, group_id long")
-    return groups.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("group_id"))).where("n > 1").drop("n")
+    small = edges.where(F.col("pairs") <= most).groupBy("root").applyInPandas(unite, "id long, group_id long")
+    groups = plain.unionByName(small)
+    large = edges.where(F.col("pairs") > most)
+    if large.limit(1).count():
+        groups = groups.unionByName(_by_rounds(large))
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
+    return groups.join(sizes, "group_id").select("id", "group_id")
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """(id, group_id) as if ``edges`` were worked through one by one in order, many at a time.
+
+    A pair that is the first left of both its groups is not touched by any earlier one, so all such pairs of a round are
+    joined at once. Groups keep their vin and never lose it, so a pair of two vins can be dropped as soon as it is seen.
+    """
+    ids = edges.select(F.col("id_a").alias("id"), F.col("vin_a").alias("vin")).unionByName(edges.select(F.col("id_b").alias("id"), F.col("vin_b").alias("vin"))).distinct()
+    state = durable(ids.select("id", F.col("id").alias("group_id"), "vin"))
+    left = durable(edges.select("id_a", "id_b"))
+    while True:
+        a = state.select(F.col("id").alias("id_a"), F.col("group_id").alias("g_a"), F.col("vin").alias("v_a"))
+        b = state.select(F.col("id").alias("id_b"), F.col("group_id").alias("g_b"), F.col("vin").alias("v_b"))
+        left = durable(left.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").where("g_a <> g_b and (v_a = '' or v_b = '' or v_a = v_b)"))
+        pair = F.struct("id_a", "id_b")
+        first = left.select(F.explode(F.array("g_a", "g_b")).alias("g"), pair.alias("p")).groupBy("g").agg(F.min("p").alias("p"))
+        ready = left.withColumn("p", pair).join(first.withColumnRenamed("g", "g_a"), ["g_a", "p"], "left_semi").join(first.withColumnRenamed("g", "g_b"), ["g_b", "p"], "left_semi")
+        moves = durable(ready.select(F.explode(F.array("g_a", "g_b")).alias("group_id"), F.least("g_a", "g_b").alias("to"), F.when(F.col("v_a") != "", F.col("v_a")).otherwise(F.col("v_b")).alias("to_vin")))
+        if not moves.limit(1).count():
+            return state.select("id", "group_id")
+        state = durable(state.join(moves, "group_id", "left").select("id", F.coalesce("to", "group_id").alias("group_id"), F.coalesce("to_vin", "vin").alias("vin")))
 
 
 def set_jaccard(members: DataFrame, owner: str, item: str, least: float) -> DataFrame:
     """(a, b, jaccard) of owners whose item sets overlap by at least ``least``.
 
-    Inverted index: only owners with a common item meet. Owners of equal sizes apart by more than ``least`` allows are dropped in the join.
+    Two such owners share one of their rarest items: of n items all but ``least`` times n, and one. Only these meet in the inverted index, so an
+    item that very many owners hold (a stand-in) pairs nobody by itself; whole sets are counted for the pairs that met.
     """
-    m = members.where(f"{owner} is not null and {item} is not null").select(owner, item).distinct()
-    n = m.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    m = m.join(n, owner)
-    a, b = m.select(item, F.col(owner).alias("a"), F.col("n").alias("na")), m.select(item, F.col(owner).alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, item).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
-    both = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    m = members.where(f"{owner} is not null and {item} is not null").select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
+    held = m.groupBy("i").agg(F.count(F.lit(1)).alias("held"))
+    n = m.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
+    m = durable(m.join(n, "o").join(held, "i"))
+    rarest = m.withColumn("at", F.row_number().over(W.partitionBy("o").orderBy("held", "i"))).where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    a, b = rarest.select("i", F.col("o").alias("a"), F.col("n").alias("na")), rarest.select("i", F.col("o").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "i").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    both = met.join(m.select(F.col("o").alias("a"), "i"), "a").join(m.select(F.col("o").alias("b"), "i"), ["b", "i"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     return both.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

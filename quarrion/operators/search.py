@@ -31,6 +31,29 @@ def conditions(f: dict) -> list[Column]:
     return out
 
 
+def thin(field: str) -> Column:
+    """an address of its own and nothing in ``field``."""
+    return F.col("url").isNotNull() & ~F.contains("url", F.lit("#")) & (F.coalesce(F.col(field), F.lit(0)) == 0)
+
+
+def arguments(raw: dict[str, str | None]) -> dict:
+    """filters of a request's arguments: numbers where they can be read, flags only as ``1``, the rest as text; unreadable ones are left out."""
+    numbers, out = {"year_min", "year_max", "price_min", "price_max", "mileage_max"}, {}
+    for k, v in raw.items():
+        if v is None:
+            continue
+        if k in numbers:
+            try:
+                out[k] = int(v)
+            except ValueError:
+                pass
+        elif k == "hide_duplicates":
+            out[k] = v == "1"
+        else:
+            out[k] = v
+    return out
+
+
 def with_dealer(listings: DataFrame, dealers: DataFrame) -> DataFrame:
     """Every listing with its dealer's name and website, null without one."""
     d = dealers.select(F.col("id").alias("dealership_id"), F.col("name").alias("dealer_name"), F.col("website").alias("dealer_website"))

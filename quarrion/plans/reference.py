@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from quarrion.functions import normalize as N
 from quarrion.functions.geo import miles_sql
-from quarrion.functions.urls import slug_parts
-from quarrion.functions.similarity import ratio_of, token_set_of, token_sort_of
-from quarrion.operators import geojoin, inventory, kpi, linkage, search, upsert
+from quarrion.functions.similarity import ratio_of, ratio_sql, sorted_sql, token_set_of, token_set_sql, token_sort_of
+from quarrion.functions.urls import BODIES, TWO_WORDS, slug_parts
+from quarrion.operators import geojoin, kpi, linkage, search, upsert
 from quarrion.operators.graph import components
 from quarrion.session import table as t
 from quarrion.sources import captured, pages
@@ -53,10 +53,14 @@ def _(s, d):
 
 
 @query("e3_stats", """
-SELECT (SELECT count(*) FROM listings WHERE is_active = 1) AS total, (SELECT count(*) FROM listings WHERE is_active = 1 AND is_duplicate = 1) AS duplicates, (SELECT count(*) FROM dealerships) AS dealers""")
+SELECT (SELECT count(*) FROM listings WHERE is_active = 1) AS total, (SELECT count(*) FROM listings WHERE is_active = 1 AND is_duplicate = 1) AS duplicates, (SELECT count(*) FROM dealerships) AS dealers,
+(SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM listings WHERE is_active = 1 GROUP BY source)) AS by_source, coalesce((SELECT max(epoch_us(last_seen)) FROM listings)::VARCHAR, 'Never') AS last_scrape""")
 def _(s, d):
-    n = t(s, d, "listings").where("is_active = 1").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_duplicate") == 1).alias("duplicates"))
-    return n.crossJoin(t(s, d, "dealerships").agg(F.count(F.lit(1)).alias("dealers")))  # one row by one row
+    rows = t(s, d, "listings")
+    n = rows.groupBy("source").agg(F.count_if(F.col("is_active") == 1).alias("n"), F.count_if((F.col("is_active") == 1) & (F.col("is_duplicate") == 1)).alias("dup"), F.max(F.unix_micros("last_seen")).alias("seen"))
+    each = F.sort_array(F.collect_list(F.when((F.col("n") > 0) & F.col("source").isNotNull(), F.concat("source", F.lit("="), F.col("n").cast("string")))))
+    whole = n.agg(F.sum("n").alias("total"), F.sum("dup").alias("duplicates"), F.array_join(each, ",").alias("by_source"), F.coalesce(F.max("seen").cast("string"), F.lit("Never")).alias("last_scrape"))
+    return whole.crossJoin(t(s, d, "dealerships").agg(F.count(F.lit(1)).alias("dealers")))  # one row by one row
 
 
 @query("a2_by_source", "SELECT source, count(*) AS n FROM listings WHERE is_active = 1 GROUP BY source")
@@ -69,10 +73,17 @@ def _(s, d):
     return search.dealer_counts(t(s, d, "dealerships"), t(s, d, "listings")).select("id", "name", "active_listings")
 
 
-@query("e5_directory_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE website IS NOT NULL AND website <> '') AS with_site, count(*) - count(*) FILTER (WHERE website IS NOT NULL AND website <> '') AS no_website, count(DISTINCT city) AS cities FROM tx_directory")
+_SITE = "count(*) FILTER (WHERE coalesce(website, '') <> '')"
+
+
+@query("e5_directory_stats", f"""
+SELECT * FROM (SELECT count(*) AS total, {_SITE} AS with_site, count(*) - {_SITE} AS no_website, count(DISTINCT city) AS cities FROM tx_directory),
+(SELECT count(*) AS dealers, {_SITE} AS dealers_with_site, count(*) FILTER (WHERE scrape_status = 'ok') AS dealers_ok, count(*) FILTER (WHERE lat IS NOT NULL AND lng IS NOT NULL) AS dealers_located FROM dealerships)""")
 def _(s, d):
     site = F.coalesce(F.col("website"), F.lit("")) != ""
-    return t(s, d, "tx_directory").agg(F.count(F.lit(1)).alias("total"), F.count_if(site).alias("with_site"), F.count_if(~site).alias("no_website"), F.countDistinct("city").alias("cities"))
+    a = t(s, d, "tx_directory").agg(F.count(F.lit(1)).alias("total"), F.count_if(site).alias("with_site"), F.count_if(~site).alias("no_website"), F.countDistinct("city").alias("cities"))
+    b = t(s, d, "dealerships").agg(F.count(F.lit(1)).alias("dealers"), F.count_if(site).alias("dealers_with_site"), F.count_if(F.col("scrape_status") == "ok").alias("dealers_ok"), F.count_if(F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("dealers_located"))
+    return a.crossJoin(b)  # one row by one row
 
 
 @query("a4_a7_status_counts", "SELECT coalesce(platform, 'directory') AS platform, scrape_status, count(*) AS n FROM dealerships WHERE scrape_status IS NOT NULL GROUP BY 1, 2")
@@ -135,25 +146,45 @@ def _(s, d):
 
 
 @query("c23_titles", r"""
-WITH x AS (SELECT id, coalesce(year::VARCHAR, '') || ' ' || coalesce(make, '') || ' ' || coalesce(model, '') || ' $' || coalesce(price::VARCHAR, '') || ' - ' || coalesce(mileage::VARCHAR, 'n/a') || ' miles' AS title FROM listings)
-SELECT id, TRY_CAST(regexp_extract(title, '\b((?:19|20)\d{2})\b', 1) AS INTEGER) AS year, TRY_CAST(replace(regexp_extract(title, '\$\s*([\d,]+)', 1), ',', '') AS BIGINT) AS price FROM x""")
+WITH x AS (SELECT id, coalesce(year::VARCHAR, '') || ' ' || coalesce(make, '') || ' ' || coalesce(model, '') || ' $' || coalesce(price::VARCHAR, '') || ' - ' || CASE WHEN id % 2 = 0 THEN coalesce((mileage // 1000)::VARCHAR, 'n/a') || 'k' ELSE coalesce(mileage::VARCHAR, 'n/a') || ' miles' END AS title FROM listings),
+m AS (SELECT *, regexp_extract(title, '(?i)([\d,]+)\s*(mi|miles|k)', 1) AS n, lower(regexp_extract(title, '(?i)([\d,]+)\s*(mi|miles|k)', 2)) AS unit FROM x)
+SELECT id, TRY_CAST(regexp_extract(title, '\b((?:19|20)\d{2})\b', 1) AS INTEGER) AS year, TRY_CAST(replace(n, ',', '') AS BIGINT) * CASE WHEN unit = 'k' THEN 1000 ELSE 1 END AS miles, TRY_CAST(replace(regexp_extract(title, '\$\s*([\d,]+)', 1), ',', '') AS BIGINT) AS price FROM m""")
 def _(s, d):
     say = lambda c, e="": F.coalesce(F.col(c).cast("string"), F.lit(e))
-    title = F.concat(say("year"), F.lit(" "), say("make"), F.lit(" "), say("model"), F.lit(" $"), say("price"), F.lit(" - "), say("mileage", "n/a"), F.lit(" miles"))
-    return t(s, d, "listings").select("id", N.title_parts(title).alias("x")).select("id", "x.year", "x.price")
+    thousands = F.concat(F.coalesce((F.col("mileage") / 1000).cast("int").cast("string"), F.lit("n/a")), F.lit("k"))
+    shown = F.when(F.col("id") % 2 == 0, thousands).otherwise(F.concat(say("mileage", "n/a"), F.lit(" miles")))
+    title = F.concat(say("year"), F.lit(" "), say("make"), F.lit(" "), say("model"), F.lit(" $"), say("price"), F.lit(" - "), shown)
+    return t(s, d, "listings").select("id", N.title_parts(title).alias("x")).select("id", "x.year", "x.miles", "x.price")
+
+
+@query("c22_ratios", f"""
+WITH v AS (SELECT DISTINCT lower(make) AS a, lower(model) AS b FROM listings WHERE make IS NOT NULL AND model IS NOT NULL), s AS MATERIALIZED (SELECT *, {sorted_sql("a")} AS sa, {sorted_sql("b")} AS sb FROM v)
+SELECT a, b, round({ratio_sql("a", "b")}, 4) AS ratio, round({ratio_sql("sa", "sb")}, 4) AS sorted, round({token_set_sql("a", "b")}, 4) AS sets FROM s""")
+def _(s, d):
+    v = t(s, d, "listings").where("make is not null and model is not null").select(F.lower("make").alias("a"), F.lower("model").alias("b")).distinct()
+    return v.select("a", "b", F.round(ratio_of(F.col("a"), F.col("b")), 4).alias("ratio"), F.round(token_sort_of(F.col("a"), F.col("b")), 4).alias("sorted"), F.round(token_set_of(F.col("a"), F.col("b")), 4).alias("sets"))
 
 
-_SLUG = r"(?:^|[/_-])(19[5-9]\d|20[0-3]\d)[-_]([a-z0-9_-]+?)(?:[-_](?:\d{4,}|[a-hj-npr-z0-9]{17}))?(?:\.html?)?/?$"
+_BODIES = "|".join(BODIES)
+_CASED = "list_transform({}, lambda w: CASE WHEN length(w) <= 3 OR regexp_matches(w, '[0-9]') THEN upper(w) ELSE upper(w[1]) || substr(w, 2) END)".format
 
 
-@query("c13_slugs", f"SELECT id, TRY_CAST(regexp_extract(lower(url), '{_SLUG}', 1) AS INTEGER) AS year, CASE WHEN regexp_extract(lower(url), '{_SLUG}', 1) <> '' THEN regexp_replace(regexp_extract(lower(url), '{_SLUG}', 2), '[-_]+', ' ', 'g') END AS words FROM listings WHERE source = 'dealer'")
+@query("c13_slugs", f"""
+WITH p AS (SELECT id, list_transform(string_split(split_part(split_part(regexp_replace(lower(url), '^[a-z]+://[^/]*', ''), '?', 1), '#', 1), '/'), lambda g: string_split(replace(g, '_', '-'), '-')) AS segs FROM listings),
+y AS (SELECT id, list_filter(segs, lambda g: len(list_filter(g, lambda w: length(w) = 4 AND coalesce(TRY_CAST(w AS INT), 0) BETWEEN 1950 AND 2039)) > 0)[1] AS g FROM p),
+a AS (SELECT id, list_filter(g, lambda w: length(w) = 4 AND coalesce(TRY_CAST(w AS INT), 0) BETWEEN 1950 AND 2039)[1] AS year, g FROM y),
+w AS (SELECT id, year, string_split(regexp_replace(array_to_string(list_filter(string_split_regex(array_to_string(g[list_position(g, year) + 1:], ' '), '[^a-z0-9]+'), lambda x: x <> ''), ' '), '(?:(?:^| )(?:[0-9]{{5,}}|[a-hj-npr-z0-9]{{17}}))+$', ''), ' ') AS w FROM a),
+m AS (SELECT id, year, CASE WHEN array_to_string(w[1:2], ' ') IN ({", ".join(f"'{x}'" for x in TWO_WORDS)}) THEN 2 ELSE 1 END AS n, w FROM w),
+r AS (SELECT id, year, w[1:n] AS make, string_split(trim(regexp_replace(array_to_string(list_filter(w[n + 1:], lambda x: x NOT IN ('awd', 'fwd', 'rwd', '4wd', '2wd', '4x4', '4x2')), ' '), '(?:^| )(?:{_BODIES})$', '')), ' ') AS rest FROM m)
+SELECT id, TRY_CAST(year AS INTEGER) AS year, nullif(array_to_string({_CASED("make")}, ' '), '') AS make,
+nullif(array_to_string({_CASED("rest[1:1]")}, '') || array_to_string(list_transform(rest[2:], lambda w: CASE WHEN regexp_matches(w, '^[0-9]+$') OR length(w) <= 2 THEN '-' ELSE ' ' END || CASE WHEN length(w) <= 3 OR regexp_matches(w, '[0-9]') THEN upper(w) ELSE upper(w[1]) || substr(w, 2) END), ''), '') AS model FROM r""")
 def _(s, d):
-    return t(s, d, "listings").where("source = 'dealer'").select("id", slug_parts(F.col("url")).alias("x")).select("id", "x.year", "x.words")
+    return t(s, d, "listings").select("id", slug_parts(F.col("url")).alias("x")).select("id", "x.year", "x.make", "x.model")
 
 
-@query("k8_log", "SELECT event_id, left(props, 6) AS detail FROM events")
+@query("k8_log", "SELECT event_id, left(props, 400) AS detail FROM events")
 def _(s, d):
-    return t(s, d, "events").select("event_id", F.substring("props", 1, 6).alias("detail"))
+    return t(s, d, "events").select("event_id", F.substring("props", 1, 400).alias("detail"))
 
 
 # aggregation, ranking
@@ -170,33 +201,11 @@ def _(s, d):
     return kpi.completeness(t(s, d, "listings").where("is_active = 1"), "source", COMPLETE)
 
 
-@query("a9_dealer_rates", """
-SELECT dealership_id, count(*) AS n, round(avg(CASE WHEN coalesce(vin, '') = '' THEN 1.0 ELSE 0.0 END), 6) AS missing_vin, round(avg(CASE WHEN coalesce(price, 0) = 0 THEN 1.0 ELSE 0.0 END), 6) AS missing_price, round(avg(CASE WHEN coalesce(image_url, '') = '' THEN 1.0 ELSE 0.0 END), 6) AS missing_image
-FROM listings WHERE is_active = 1 AND dealership_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""")
-def _(s, d):
-    rows = t(s, d, "listings").where("is_active = 1 and dealership_id is not null")
-    gone = lambda c: ~kpi.filled(c, rows)
-    return kpi.shares(rows, ["dealership_id"], {"missing_vin": gone("vin"), "missing_price": gone("price"), "missing_image": gone("image_url")}).where("n >= 3")
-
-
 @query("a5_a13_groups", "SELECT duplicate_group_id, count(*) AS n, max(nullif(price, 0)) AS top_price, list_sort(list(DISTINCT source)) AS sources FROM listings WHERE duplicate_group_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
     return t(s, d, "listings").where("duplicate_group_id is not null").groupBy("duplicate_group_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("nullif(price, 0)")).alias("top_price"), F.array_sort(F.collect_set("source")).alias("sources")).where("n > 1")
 
 
-@query("w1_group_rank", "SELECT id, duplicate_group_id, row_number() OVER (PARTITION BY duplicate_group_id ORDER BY price ASC NULLS LAST, mileage ASC NULLS LAST, id) AS rank FROM listings WHERE duplicate_group_id IS NOT NULL")
-def _(s, d):
-    return t(s, d, "listings").where("duplicate_group_id is not null").withColumn("rank", F.row_number().over(W.partitionBy("duplicate_group_id").orderBy(F.asc_nulls_last("price"), F.asc_nulls_last("mileage"), "id"))).select("id", "duplicate_group_id", "rank")
-
-
-@query("w2_w3_best_name", r"""
-WITH h AS (SELECT id, name, regexp_replace(regexp_extract(regexp_replace(lower(trim(website)), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^www\.', '') AS host FROM dealerships WHERE website IS NOT NULL)
-SELECT host, id, name FROM h QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(name) DESC, id) = 1""")
-def _(s, d):
-    rows = t(s, d, "dealerships").where("website is not null").select("id", "name", N.host(F.col("website"), keep_port=True).alias("host"))
-    return search.top_of(rows, ["host"], [F.length("name").desc_nulls_last(), F.col("id").asc()]).select("host", "id", "name")
-
-
 @query("w5_latest_reading", "SELECT url, epoch_us(last_seen) AS seen, load_no, price FROM listing_snapshots WHERE url IS NOT NULL AND last_seen IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, load_no DESC, price DESC NULLS LAST) = 1")
 def _(s, d):
     return search.latest(t(s, d, "listing_snapshots").where("url is not null"), ["url"], "last_seen", ["load_no", "price"]).select("url", F.unix_micros("last_seen").alias("seen"), "load_no", "price")
@@ -263,24 +272,6 @@ def _(s, d):
     return linkage.key_groups(t(s, d, "listings").where("is_active = 1"), "vin")
 
 
-@query("g2_fuzzy_pairs")
-def _(s, d):
-    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumn("make_key", N.make_key(F.col("make")))
-    return linkage.fuzzy_pairs(rows, ["year", "make_key"])
-
-
-@query("g3_guarded_groups")
-def _(s, d):
-    rows = t(s, d, "listings").where("is_active = 1 and year is not null").withColumn("make_key", N.make_key(F.col("make")))
-    return linkage.guarded_groups(linkage.fuzzy_pairs(rows, ["year", "make_key"]), rows, ["year"])
-
-
-@query("c22_ratios")
-def _(s, d):
-    v = t(s, d, "vehicle_versions").select("model", "trim").distinct()
-    return v.select("model", "trim", F.round(ratio_of(F.col("model"), F.col("trim")), 4).alias("ratio"), F.round(token_sort_of(F.col("model"), F.col("trim")), 4).alias("sorted"), F.round(token_set_of(F.col("model"), F.col("trim")), 4).alias("sets"))
-
-
 @query("j11_jaccard", """
 WITH m AS (SELECT DISTINCT source || ':' || dealership_id AS o, vin AS i FROM listings WHERE dealership_id IS NOT NULL AND length(vin) = 17), n AS (SELECT o, count(*) AS n FROM m GROUP BY o),
 c AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM m x JOIN m y ON x.i = y.i AND x.o < y.o GROUP BY 1, 2)
@@ -308,12 +299,13 @@ def _(s, d):
 
 # changes of tables
 
-_BATCH = """(SELECT url, arg_max(price, (last_seen, load_no)) FILTER (WHERE price IS NOT NULL) AS price, arg_max(mileage, (last_seen, load_no)) FILTER (WHERE mileage IS NOT NULL) AS mileage FROM listing_snapshots WHERE load_no = 12 AND url IS NOT NULL GROUP BY url)"""
+_BATCH = """(SELECT url, arg_max(price, (last_seen, load_no, coalesce(price, -1), coalesce(mileage, -1))) FILTER (WHERE price IS NOT NULL) AS price, arg_max(mileage, (last_seen, load_no, coalesce(price, -1), coalesce(mileage, -1))) FILTER (WHERE mileage IS NOT NULL) AS mileage FROM listing_snapshots WHERE url IS NOT NULL AND last_seen IS NOT NULL GROUP BY url)"""
 
 
 def _batch(s, d):
-    rows = t(s, d, "listing_snapshots").where("load_no = 12")
-    return upsert.collapsed(rows, "url", ["last_seen", "load_no"], ["price", "mileage"])
+    """All deliveries as one batch of rows in order of their reading; equal readings in order of their numbers."""
+    rows = t(s, d, "listing_snapshots").where("last_seen is not null").withColumns({"p": F.coalesce("price", F.lit(-1)), "m": F.coalesce("mileage", F.lit(-1))})
+    return upsert.collapsed(rows, "url", ["last_seen", "load_no", "p", "m"], ["price", "mileage"])
 
 
 @query("k1_upsert", f"SELECT coalesce(l.url, b.url) AS url, coalesce(b.price, l.price) AS price, coalesce(b.mileage, l.mileage) AS mileage, l.make, l.url IS NULL AS is_new FROM listings l FULL JOIN {_BATCH} b ON l.url = b.url")
@@ -353,28 +345,6 @@ def _(s, d):
     return upsert.matched_by_priority(rows, known, [["website"], ["name", "zip"]], "dealer", "id").select("id", "matched", "match_rule", "also")
 
 
-_LOADS = "(SELECT dealership_id, vin, url FROM listing_snapshots WHERE load_no = {} AND vin IS NOT NULL AND vin <> '')"
-
-
-def _load(s, d, n):
-    return t(s, d, "listing_snapshots").where(f"load_no = {n}").select("dealership_id", "vin", "url")
-
-
-@query("j12_inventory_diff", f"""
-WITH o AS (SELECT DISTINCT dealership_id, vin FROM {_LOADS.format(9)} x), n AS (SELECT DISTINCT dealership_id, vin FROM {_LOADS.format(10)} x), r AS (SELECT DISTINCT dealership_id FROM listing_snapshots WHERE load_no = 10)
-SELECT coalesce(o.dealership_id, n.dealership_id) AS dealership_id, coalesce(o.vin, n.vin) AS vin, CASE WHEN o.vin IS NULL THEN 'new' WHEN n.vin IS NULL THEN 'sold' ELSE 'kept' END AS status
-FROM o FULL JOIN n ON o.dealership_id = n.dealership_id AND o.vin = n.vin WHERE coalesce(o.dealership_id, n.dealership_id) IN (SELECT dealership_id FROM r)""")
-def _(s, d):
-    return inventory.inventory_diff(_load(s, d, 9), _load(s, d, 10))
-
-
-@query("j13_moved", f"""
-SELECT o.dealership_id, o.vin, o.url FROM {_LOADS.format(9)} o WHERE EXISTS (SELECT 1 FROM {_LOADS.format(10)} n WHERE n.dealership_id = o.dealership_id AND n.vin = o.vin)
-AND NOT EXISTS (SELECT 1 FROM {_LOADS.format(10)} n WHERE n.dealership_id = o.dealership_id AND n.vin = o.vin AND n.url = o.url)""")
-def _(s, d):
-    return inventory.moved(_load(s, d, 9), _load(s, d, 10)).select("dealership_id", "vin", "url")
-
-
 # set operations
 
 @query("set_operations", """
