@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.functions import udtf
 
 GEONAMES = "country string, zip string, city string, state_name string, state string, c5 string, c6 string, c7 string, c8 string, lat string, lng string, accuracy string"
 
@@ -53,20 +55,24 @@ class _Tables(HTMLParser):
             self.cell = None
 
 
-@udtf(returnType="cells map<string,string>")
-class TableRows:
-    """Rows of those tables of a page whose header holds a given name, as header to cell; rows with that cell blank are left out."""
+def table_rows(pages: DataFrame, key: str, page: str, needed: str) -> DataFrame:
+    """(key, cells) of those tables of a page whose header holds a given name, a row's cells by header; rows with that cell blank are left out. Arrow batches."""
 
-    def eval(self, page: str, needed: str):
-        parser = _Tables()
-        parser.feed(page or "")
-        for t in parser.tables:
-            if t and needed.upper() in [c.upper() for c in t[0]]:
-                head = [c.upper() for c in t[0]]
-                for row in t[1:]:
-                    cells = dict(zip(head, row))
-                    if cells.get(needed.upper()):
-                        yield (cells,)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, out = [], []
+            for k, p in zip(b.column(0), b.column(1).to_pylist()):
+                parser = _Tables()
+                parser.feed(p or "")
+                for t in parser.tables:
+                    head = [c.upper() for c in t[0]] if t else []
+                    for row in t[1:] if needed.upper() in head else ():
+                        cells = dict(zip(head, row))
+                        if cells.get(needed.upper()):
+                            keys.append(k.as_py()), out.append(list(cells.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(out, pa.map_(pa.string(), pa.string()))], names=[b.schema.names[0], "cells"])
+
+    return pages.select(key, page).mapInArrow(read, f"`{key}` {pages.schema[key].dataType.simpleString()}, cells map<string,string>")
 
 
 ELEMENTS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
@@ -122,15 +128,60 @@ def inventory_links(pages: DataFrame, key: str, page: str, k: int = 6) -> DataFr
     return top_of(urls, [key], [(~F.col("url").ilike("%used%")).asc(), F.length("url").asc(), F.col("url").asc()], k)
 
 
-@F.udf(T.StringType())
-def absolute(base, link):
-    """A link as an absolute address."""
+@F.pandas_udf(T.StringType())
+def _joined_links(base: pd.Series, link: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 
-    return urljoin(base or "", link) if link is not None else None
+    return pd.Series([None if x is None else urljoin(b or "", x) for b, x in zip(base, link)], dtype="object")
+
+
+def absolute(base: Column, link: Column) -> Column:
+    """A link as an absolute address; null for none. Addresses with a scheme stay as they are without leaving the JVM."""
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(_joined_links(base, link))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Entities decoded, in Arrow batches."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, body) of a folder of captured pages, one row a file; files that cannot be read are skipped, empty ones have no row."""
+    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+    return raw.select("path", F.try_validate_utf8("content").alias("body") if hasattr(F, "try_validate_utf8") else F.col("content").cast("string").alias("body")).where("coalesce(body, '') <> ''")
+
+
+def last_good(payloads: DataFrame, key: str, at: str, body: str, ok: Column) -> DataFrame:
+    """Per key the body of its latest payload that is ``ok``, however old; keys without one are left out."""
+    return payloads.where(ok & F.col(body).isNotNull()).groupBy(key).agg(F.max(F.struct(at, body)).alias("r")).select(key, "r.*")
+
+
+def fresh(payloads: DataFrame, at: str, now: Column, ttl: str) -> DataFrame:
+    """Cached payloads younger than ``ttl`` (an interval's text)."""
+    return payloads.where(F.col(at) > now - F.expr(f"INTERVAL {ttl}"))
+
+
+def merged_config(default: dict, saved: dict | None) -> dict:
+    """Saved sections over the defaults, key by key within a section; unknown sections are kept."""
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in default.items()}
+    for k, v in (saved or {}).items():
+        out[k] = {**out[k], **v} if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def sitemap_pages(documents: DataFrame, url: str, body: str, roots: list[str], wanted: str, unwanted: str, rounds: int = 3) -> DataFrame:
+    """(url) of the pages that sitemaps (url, body) name, from ``roots`` through indexes of up to ``rounds`` levels, each once."""
+    known = documents.select(F.col(url).alias("_u"), F.explode(sitemap_urls(F.col(body), ".", "^$")).alias("_to"))
+    front = documents.sparkSession.createDataFrame([(r,) for r in roots], "_u string")
+    named = None
+    for _ in range(rounds):
+        to = known.join(front.distinct(), "_u", "left_semi").select(F.col("_to").alias("_u"))
+        named = to if named is None else named.unionByName(to)
+        front = to
+    return named.where(F.col("_u").rlike(wanted) & ~F.col("_u").rlike(unwanted)).select(F.col("_u").alias(url)).distinct()
 
 
-@F.udf(T.StringType())
-def unescaped(text):
-    """Entities decoded."""
-    return html.unescape(text) if text is not None else None
+def json_rows(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, nulls written out."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -2,7 +2,8 @@ import itertools
 import random
 
 from quarrion.functions.similarity import token_set, token_sort
-from quarrion.plans import reference
+from quarrion.operators import dedup, linkage
+from quarrion.plans import pipelines
 
 SCHEMA = "id long, vin string, make string, model string, trim string, year int, mileage int, price int, is_active int"
 
@@ -32,7 +33,49 @@ def test_registered_pairs_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "listings.parquet"))
     cars = [dict(zip(("id", "vin", "make", "model", "trim", "year", "mileage", "price"), x)) for x in rows]
     want = sorted((a["id"], b["id"]) for a, b in itertools.combinations(cars, 2) if alike(a, b))
-    got = reference.QUERIES["g2_fuzzy_pairs"](spark, str(tmp_path))
+    got = pipelines.QUERIES["g2_fuzzy_pairs"](spark, str(tmp_path))
     assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 100
-    grouped = {x.id for x in reference.QUERIES["g3_guarded_groups"](spark, str(tmp_path)).collect()}
-    assert grouped <= {i for pair in want for i in pair} and any(cars[a]["model"][:4] != cars[b]["model"][:4] and {a, b} <= grouped for a, b in want)
+    grouped = {x.id for x in pipelines.QUERIES["g3_guarded_groups"](spark, str(tmp_path)).collect()}
+    # rows that share a vin as written are grouped by it and not compared
+    held = [c["vin"] for c in cars]
+    alone = {c["id"] for c in cars if not c["vin"] or held.count(c["vin"]) == 1}
+    assert grouped and grouped <= {i for a, b in want if {a, b} <= alone for i in (a, b)}
+
+
+def in_order(pairs, vins):
+    """Pairs joined one by one, unless that would put two vins into a group."""
+    up = {i: i for p in pairs for i in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    held = {i: vins[i] for i in up}
+    for a, b in sorted(pairs):
+        x, y = sorted((top(a), top(b)))
+        if x != y and not (held[x] and held[y] and held[x] != held[y]):
+            up[y], held[x] = x, held[x] or held[y]
+    groups = {i: top(i) for i in up}
+    return {(i, g) for i, g in groups.items() if list(groups.values()).count(g) > 1}
+
+
+def test_guarded_groups_in_one_piece_and_by_rounds(spark):
+    """Both ways give what the order gives: chains, hubs, rings and random pairs, with none, one and several vins."""
+    r = random.Random(11)
+    pairs = {(i, i + 1) for i in range(12)} | {(20, i) for i in range(21, 30)} | {(40 + i, 40 + (i + 1) % 7) for i in range(7)} | {tuple(sorted(r.sample(range(60, 90), 2))) for _ in range(45)}
+    pairs = {tuple(sorted(p)) for p in pairs}
+    vins = {i: r.choice(["", "", "V1", "V2", "V3"]) if i < 20 or i >= 40 else r.choice(["", "V9"]) for p in pairs for i in p}
+    a = spark.createDataFrame(sorted(pairs), "id_a long, id_b long")
+    rows = spark.createDataFrame([(i, v or None) for i, v in vins.items()], "id long, vin string")
+    for most in (linkage.MOST_PAIRS, 0, 20):
+        assert {tuple(x) for x in linkage.guarded_groups(a, rows, [], most).select("id", "group_id").collect()} == in_order(pairs, vins), most
+
+
+def test_deduplicated(spark):
+    """Equal vins first, a shared middle row in one group only, a leaked payment never canonical, the nearer of equal prices first."""
+    car = lambda i, vin, price, miles=42000, near=None: (i, vin, "Honda", "Civic", "LX", 2019, miles, price, near)
+    rows = spark.createDataFrame([car(1, "V1", 650), car(2, "V1", 15000), car(3, "A", 18900, 1000), car(4, None, 18950, 1100), car(5, "B", 19000, 1200), car(6, "C", 30000, 70000, 20.0), car(7, None, 30000, 70000, 5.0), car(8, None, 30000, 90000)], "id long, vin string, make string, model string, trim string, year int, mileage int, price int, distance_mi double")
+    got = {x.id: (x.group_id, x.match_method, x.is_duplicate) for x in dedup.deduplicated(rows.selectExpr("*", "7 as rank", "1 as is_duplicate"), ["year"]).collect()}
+    assert got == {1: (1, "vin", 1), 2: (1, "vin", 0), 3: (3, "fuzzy", 0), 4: (3, "fuzzy", 1), 6: (6, "fuzzy", 1), 7: (6, "fuzzy", 0)}
+    assert dedup.deduplicated(rows.limit(0), ["year"]).count() == 0
