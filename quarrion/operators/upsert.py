@@ -72,3 +72,17 @@ def matched_by_priority(rows: DataFrame, current: DataFrame, rules: list[list[st
     rule = F.coalesce(*[F.when(k.isNotNull(), F.lit(i + 1)) for i, k in enumerate(keys)])
     other = F.coalesce(*[F.when(k != first, k) for k in keys])
     return out.withColumns({"matched": first, "match_rule": rule, "also": other}).drop(*[f"_k{i}" for i in range(len(rules))])
+
+
+def folded(current: DataFrame, matches: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """K3: ``current`` after rows that matched two of its keys (``matched``, ``also``): the second is folded into the first.
+
+    Adds ``canonical``, the key that a folded row stands for (null for others; of several the least). Fields that a winner
+    lacks are filled from those folded into it, the least value. A row that wins over others and is folded itself keeps what it was given.
+    """
+    pairs = matches.where(F.col("also").isNotNull()).select(F.col("matched").alias("_w"), F.col("also").alias("_l")).distinct()
+    said = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(c))
+    given = pairs.join(current.select(F.col(key).alias("_l"), *[said(c).alias(f"_f_{c}") for c in fields]), "_l").groupBy(F.col("_w").alias(key)).agg(*[F.min(f"_f_{c}").alias(f"_f_{c}") for c in fields])
+    lost = pairs.groupBy(F.col("_l").alias(key)).agg(F.min("_w").alias("canonical"))
+    out = current.join(given, key, "left").join(lost, key, "left")
+    return out.withColumns({c: F.coalesce(said(c), F.col(f"_f_{c}")) for c in fields}).drop(*[f"_f_{c}" for c in fields])

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W, functions as F
 from quarrion.functions import normalize as N
 from quarrion.functions.geo import miles_sql
 from quarrion.functions.similarity import ratio_sql, sorted_sql, token_set_sql
-from quarrion.operators import dealers, dedup, geojoin, inventory, kpi, linkage, search, status
+from quarrion.operators import dealers, dedup, geojoin, inventory, kpi, linkage, search, status, upsert
 from quarrion.plans.reference import ORIGIN
 from quarrion.session import table as t
+from quarrion.sources import pages
 
 QUERIES, SQL = {}, {}
 
@@ -387,3 +388,56 @@ def _(s, d):
 def _(s, d):
     n = t(s, d, "listing_snapshots").groupBy("source", "load_no").agg(F.count(F.lit(1)).alias("got"))
     return status.complete(n.withColumn("expected", F.coalesce(F.lag("got").over(W.partitionBy("source").orderBy("load_no")), "got")), "got", "expected", 0.8)
+
+
+# matching into the dealers' table
+
+_K3 = f"""
+r AS (SELECT *, {HOST.format("website")} AS host, {_NAME} AS norm, {_ZIP5} AS zip5 FROM (SELECT DISTINCT id, cardealerdb_id, name, zip, website, lat, lng FROM tx_directory)), d AS (SELECT *, {HOST.format("website")} AS host, {_NAME} AS norm, {_ZIP5} AS zip5 FROM dealerships),
+a AS (SELECT host, min(id) AS k FROM d WHERE host <> '' GROUP BY 1), c AS (SELECT norm, zip5, min(id) AS k FROM d WHERE norm <> '' AND zip5 <> '' GROUP BY 1, 2),
+x AS (SELECT r.id, r.lat, r.lng, min(a.k) AS k0, min(b.id) AS k1, min(c.k) AS k2 FROM r LEFT JOIN a USING (host) LEFT JOIN d b ON b.id::VARCHAR = r.cardealerdb_id LEFT JOIN c ON c.norm = r.norm AND c.zip5 = r.zip5 GROUP BY ALL),
+k AS (SELECT id, lat, lng, coalesce(k0, k1, k2) AS matched, CASE WHEN k0 IS NOT NULL THEN 1 WHEN k1 IS NOT NULL THEN 2 WHEN k2 IS NOT NULL THEN 3 END AS match_rule, coalesce(CASE WHEN k0 <> coalesce(k0, k1, k2) THEN k0 END, CASE WHEN k1 <> coalesce(k0, k1, k2) THEN k1 END, CASE WHEN k2 <> coalesce(k0, k1, k2) THEN k2 END) AS also FROM x)"""
+
+
+def _matches(s, d):
+    keyed = lambda df: df.withColumns({"host": N.host(F.col("website"), keep_port=True), "norm": N.normalize_name(F.col("name")), "zip5": N.zip5(F.col("zip"))})
+    rows = keyed(t(s, d, "tx_directory").select("id", "cardealerdb_id", "name", "zip", "website", "lat", "lng").distinct()).withColumn("row", F.struct("id", "lat", "lng"))
+    known = keyed(t(s, d, "dealerships")).select(F.col("id").alias("dealer"), F.col("id").cast("string").alias("cardealerdb_id"), "host", "norm", "zip5")
+    out = upsert.matched_by_priority(rows.select("row", "cardealerdb_id", "host", "norm", "zip5"), known, [["host"], ["cardealerdb_id"], ["norm", "zip5"]], "dealer", "row")
+    return out.groupBy("row").agg(*[F.min(c).alias(c) for c in ("matched", "match_rule", "also")]).select("row.*", "matched", "match_rule", "also")
+
+
+@query("k3_three_rules", f"WITH {_K3} SELECT id, matched, match_rule, also FROM k")
+def _(s, d):
+    return _matches(s, d).select("id", "matched", "match_rule", "also")
+
+
+@query("k3_folded", f"""WITH {_K3}, p AS (SELECT DISTINCT matched AS w, also AS l FROM k WHERE also IS NOT NULL), g AS (SELECT w AS id, min(nullif(phone, '')) AS phone, min(nullif(address, '')) AS address FROM p JOIN dealerships d ON d.id = p.l GROUP BY w), o AS (SELECT l AS id, min(w) AS canonical FROM p GROUP BY l)
+SELECT d.id, coalesce(nullif(d.phone, ''), g.phone) AS phone, coalesce(nullif(d.address, ''), g.address) AS address, o.canonical FROM dealerships d LEFT JOIN g USING (id) LEFT JOIN o USING (id)""")
+def _(s, d):
+    return upsert.folded(t(s, d, "dealerships").select("id", "phone", "address"), _matches(s, d), "id", ["phone", "address"])
+
+
+@query("e10_discovered", f"WITH {_K3}, m AS ({miles_sql(f'SELECT id, matched, lat, lng, {ORIGIN[0]}::DOUBLE AS a, {ORIGIN[1]}::DOUBLE AS b FROM k WHERE lat IS NOT NULL AND lng IS NOT NULL', 'lat', 'lng', 'a', 'b')}) SELECT count(*) AS in_range, count(*) FILTER (WHERE matched IS NULL) AS added FROM m WHERE miles <= 120")
+def _(s, d):
+    return geojoin.in_radius(_matches(s, d), *ORIGIN, 120).agg(F.count(F.lit(1)).alias("in_range"), F.count_if(F.col("matched").isNull()).alias("added"))
+
+
+@query("k2_dealer_upsert", "WITH b AS (SELECT website, max(captured_at) AS at FROM tx_directory WHERE website IS NOT NULL GROUP BY 1) SELECT coalesce(d.website, b.website) AS website, d.name, epoch_us(CASE WHEN b.website IS NULL THEN d.last_seen ELSE b.at END) AS seen, d.website IS NULL AS is_new FROM (SELECT * FROM dealerships WHERE website IS NOT NULL) d FULL JOIN b ON b.website = d.website")
+def _(s, d):
+    batch = t(s, d, "tx_directory").where("website is not null").groupBy("website").agg(F.max("captured_at").alias("last_seen"))
+    out = upsert.upsert(t(s, d, "dealerships").where("website is not null").select("website", "name", "last_seen"), batch, "website", [], ["last_seen"])
+    return out.select("website", "name", F.unix_micros("last_seen").alias("seen"), "is_new")
+
+
+@query("x12_j16_enriched", """
+WITH c AS (SELECT url, vin, mileage, image_url FROM listing_snapshots), u AS (SELECT url, min(mileage) AS m, min(image_url) AS i FROM c WHERE coalesce(url, '') <> '' GROUP BY 1), v AS (SELECT vin, min(mileage) AS m, min(image_url) AS i FROM c WHERE coalesce(vin, '') <> '' GROUP BY 1)
+SELECT l.id, coalesce(nullif(coalesce(nullif(l.mileage, 0), u.m), 0), v.m) AS mileage, coalesce(CASE WHEN coalesce(CASE WHEN l.image_url NOT IN ('', '0') THEN l.image_url END, u.i) NOT IN ('', '0') THEN coalesce(CASE WHEN l.image_url NOT IN ('', '0') THEN l.image_url END, u.i) END, v.i) AS image_url
+FROM listings l LEFT JOIN u USING (url) LEFT JOIN v ON v.vin = l.vin""")
+def _(s, d):
+    return pages.enriched(t(s, d, "listings").select("id", "url", "vin", "mileage", "image_url"), t(s, d, "listing_snapshots").select("url", "vin", "mileage", "image_url"), ["url", "vin"], ["mileage", "image_url"]).select("id", "mileage", "image_url")
+
+
+@query("j8_nearest_places", f"SELECT name, round(miles, 3) AS miles FROM ({miles_sql(f'SELECT zip AS name, lat, lng, {ORIGIN[0]}::DOUBLE AS a, {ORIGIN[1]}::DOUBLE AS b FROM zip_coords WHERE lat IS NOT NULL AND lng IS NOT NULL', 'lat', 'lng', 'a', 'b')}) WHERE miles <= 200 ORDER BY miles, name LIMIT 5")
+def _(s, d):
+    return geojoin.nearby_fixed(*ORIGIN, t(s, d, "zip_coords").select(F.col("zip").alias("name"), "lat", "lng"), 100).select("name", F.round("miles", 3).alias("miles"))
