@@ -21,6 +21,17 @@ def _joined(runs: Column) -> Column:
     return F.aggregate(runs, empty, step)
 
 
+def _merged(two: Column) -> Column:
+    """Runs of two neighbouring segments put together: both are coalesced already, so only the seam is looked at.
+
+    The left one's last run meets the right one's first and, if that states no payload, its second.
+    """
+    left, right = F.get(two, F.lit(0))["runs"], F.get(two, F.lit(1))["runs"]
+    seam = _joined(F.concat(F.slice(left, F.size(left), F.lit(1)), F.slice(right, 1, 2)))
+    whole = F.concat(F.slice(left, F.lit(1), F.size(left) - 1), seam, F.slice(right, F.lit(3), F.size(right)))
+    return F.when(F.size(two) == 1, left).otherwise(whole)
+
+
 def coalesce_history(units: DataFrame, entity: list[str], rounds: int, extra: dict[str, Column] | None = None) -> DataFrame:
     """Versions of an entity from its unit intervals.
 
@@ -36,8 +47,7 @@ def coalesce_history(units: DataFrame, entity: list[str], rounds: int, extra: di
     level = units.select(*entity, F.col("ord").alias("seg"), unit.alias("runs"), *extra).repartition(*entity)
     for _ in range(max(1, rounds)):
         pair = level.groupBy(*entity, F.shiftright("seg", 1).alias("seg")).agg(F.collect_list(F.struct("seg", "runs")).alias("two"), *(f.alias(n) for n, f in extra.items()))
-        ordered = F.flatten(F.transform(F.array_sort("two"), lambda x: x["runs"]))
-        level = pair.select(*entity, "seg", _joined(ordered).alias("runs"), *extra)
+        level = pair.withColumn("two", F.array_sort("two")).select(*entity, "seg", _merged(F.col("two")).alias("runs"), *extra)
     return level.select(*entity, *extra, F.explode("runs").alias("run")).where("run.v is not null").select(*entity, *extra, "run.v", "run.first", "run.last")
 
 
