@@ -83,14 +83,14 @@ def _shares(counts: DataFrame, source: list[str], load: str) -> DataFrame:
 
     The ordinary shares of a column are scaled to sum to 1.
     """
-    of_load = W.partitionBy(*source, load, "column_name")
+    of_load = counts.groupBy(*source, load, "column_name").agg(F.sum("n").alias("_all"))
     loads = counts.groupBy(*source, "column_name").agg(F.countDistinct(load).alias("loads"))
-    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(of_load)).join(loads, [*source, "column_name"])
+    counts = counts.join(of_load, [*source, load, "column_name"]).withColumn("share", F.col("n") / F.col("_all")).drop("_all").join(loads, [*source, "column_name"])
     ordered = F.sort_array(F.concat(F.collect_list("share"), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.first("loads").cast("int") - F.count(F.lit(1)).cast("int")))))
     half = lambda d: F.element_at(ordered, F.floor((F.first("loads") + d) / 2).cast("int"))
     ordinary = counts.groupBy(*source, "column_name", "mask").agg(((half(1) + half(2)) / 2).alias("ordinary"))
-    total = W.partitionBy(*source, "column_name")
-    ordinary = ordinary.withColumn("ordinary", F.coalesce(F.try_divide("ordinary", F.sum("ordinary").over(total)), F.lit(0.0)))
+    total = ordinary.groupBy(*source, "column_name").agg(F.sum("ordinary").alias("_all"))
+    ordinary = ordinary.join(total, [*source, "column_name"]).withColumn("ordinary", F.coalesce(F.try_divide("ordinary", "_all"), F.lit(0.0))).drop("_all")
     keys = [c for c in (*source, "column_name")]
     grid = counts.select(*source, load, "column_name").distinct().join(ordinary, keys)
     own = counts.select(*source, load, "column_name", F.coalesce("mask", F.lit("\0")).alias("mask"), "n", "share")
