@@ -19,6 +19,8 @@ ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9
 
 #: Entries of a worker's tables of finished pieces before they start anew.
 REMEMBERED = 400_000
+#: Cells of the transition table that a worker keeps before it starts anew.
+CELLS = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,6 +61,8 @@ class MergeAutomaton:
         key = a << 20 | b
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= CELLS:
+                self.table.clear()
             known = self.table[key] = self._unroll(a, b)
         return known
 
