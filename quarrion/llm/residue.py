@@ -34,21 +34,21 @@ SLOT = re.compile(
 #: is under way, what a text stands in for, the texts it stands in for, and words that carry no meaning of their own.
 WORDS = {
     "own": """javascript noscript html http https url urls api json xml css cookie cookies browser browsers navegador navegadores navigateur navigateurs webbrowser database datenbank gateway proxy captcha exception traceback
-        typeerror timeout plugin plugins token quota undefined null nan server servers servidor servidores serveur serveurs website websites webseite webseiten login subtitle subtitles untertitel* subtitulo* subtítulo* sous-titre* legenda legendas
+        typeerror timeout runtime plugin plugins token quota undefined null nan server servers servidor servidores serveur serveurs website websites webseite webseiten login subtitle subtitles untertitel* subtitulo* subtítulo* sous-titre* legenda legendas
         tonspur werbeblocker adblock* firewall ssl hostname php sql render* script scripts skript skripte stylesheet download* upload* rate_limited ad+blocker ad+block adblocker webserver datenbank* zeitüberschreitung* serverfehler api-key api-schlüssel syntax stack endpoint bandwidth buffer firmware update updates codec codecs player mediaplayer subtítulos sottotitoli""",
     "thing": """page pages seite seiten página páginas file files datei dateien fichier fichiers archivo archivos arquivo arquivos content contents inhalt inhalte contenu contenido* conteúdo* video videos vidéo vidéos vídeo vídeos caption captions track stream account konto compte cuenta conta
         access zugriff zugang accès acceso acesso password passwort contraseña senha limit limite límite robot robots bot status code error errors fehler erreur erreurs erro erros request requests anfrage requête solicitud solicitação session sessions sitzung sesión sessão connection verbindung connexion conexión conexão
-        service dienst servicio serviço region regions région región região country pays país resource ressource recurso query thread clients host document dokument documento app application anwendung aplicación aplicativo network netzwerk netzwerk* réseau internet système sistema sistemas système system systems speicher* memory mémoire memoria memória link links lien liens enlace enlaces formular form site sites subscription abonnement suscripción assinatura passe module pointer segment segmentation fault core dump dumped maintenance mantenimiento manutenção wartung* solicitudes solicitações requêtes anfragen user users benutzer* utilisateur* usuario* usuário* client kunde* format formats formato formatos module modules argument argumento parameter parámetro* parâmetro* literal input output eingabe ausgabe entrée entrada saída id requested load loaded geladen charger chargé* cargar cargado* carregar carregado* angefordert* demandé* solicitad* permission permissions berechtigung* permiso permissão""",
-    "wrong": """unavailable denied forbidden failed failing failure expired blocked blocks disabled required invalid exceeded missing unexpected unknown uncaught fatal internal interrupted rejected refused bad occurred permanently permission unauthorized unauthorised unhandled unsupported unreachable unresponsive overloaded corrupt corrupted malformed violation aborted terminated crashed offline broke broken isn't overloaded null+pointer removed deleted supprimé* eliminad* removid* entfernt proper redirected outdated deprecated exhausted mismatch undefined
-        abgelaufen verweigert gesperrt fehlgeschlagen ungültig* deaktiviert erforderlich überschritten aufgetreten unterbrochen überlastet verloren beschädigt gelöscht ungenügend unzulässig nicht+unterstützt unterstützt+dieses unterstützt+nicht unbekannt* veraltet interne* interner unerwartet* introuvable* indisponible* refusé* interdit* échoué échec expiré* bloqué* bloque désactivé* requis* invalide* dépassé* survenu* inattendu* non+trouvé* ne+répond temporairement surchargé* perdu* interne non+pris non+autorisé* erroné* corrompu* trop+de a+expiré en+maintenance inaccessible* inconnu*
+        service dienst servicio serviço region regions région región região country pays país resource ressource recurso query thread clients host document dokument documento credentials preview preloader operation process profile app application anwendung aplicación aplicativo network netzwerk netzwerk* réseau internet système sistema sistemas système system systems datos dados daten données base zugangsdaten speicher* memory mémoire memoria memória link links lien liens enlace enlaces formular form site sites subscription abonnement suscripción assinatura passe module pointer segment segmentation fault core dump dumped maintenance mantenimiento manutenção wartung* solicitudes solicitações requêtes anfragen user users benutzer* utilisateur* usuario* usuário* client kunde* format formats formato formatos module modules argument argumento parameter parámetro* parâmetro* literal input output eingabe ausgabe entrée entrada saída id requested load loaded geladen charger chargé* cargar cargado* carregar carregado* angefordert* demandé* solicitad* permission permissions berechtigung* permiso permissão""",
+    "wrong": """unavailable denied forbidden failed failing failure expired blocked blocks disabled required invalid exceeded missing unexpected unknown uncaught fatal internal interrupted rejected refused bad occurred permanently permission unauthorized unauthorised unhandled unsupported unreachable unresponsive overloaded corrupt corrupted malformed violation aborted terminated crashed offline suspended banned revoked not+responding needed authentication+required broke broken isn't overloaded plus+disponible n'est+plus null+pointer removed deleted supprimé* eliminad* removid* entfernt proper redirected outdated deprecated exhausted mismatch undefined
+        abgelaufen verweigert gesperrt fehlgeschlagen ungültig* deaktiviert erforderlich überschritten aufgetreten unterbrochen kein+zugriff keine+verbindung keine+berechtigung überlastet verloren beschädigt gelöscht ungenügend unzulässig nicht+unterstützt unterstützt+dieses unterstützt+nicht unbekannt* veraltet interne* interner unerwartet* introuvable* indisponible* refusé* interdit* échoué échec expiré* bloqué* bloque désactivé* requis* invalide* dépassé* survenu* inattendu* non+trouvé* ne+répond temporairement surchargé* perdu* interne non+pris non+autorisé* erroné* corrompu* trop+de a+expiré en+maintenance inaccessible* inconnu*
         denegad* prohibid* falló fallid* expirad* caducad* bloquead* deshabilitad* desactivad* requerid* requiere inválid* excedid* producido inesperad* no+responde demasiad* sobrecargad* perdid* interno dañad* no+válid* en+mantenimiento no+compatible no+autorizad* desconocid* no+hay indisponível negad* proibid* interno não+responde muit* sobrecarregad* perdid* corrompid* não+suportad* em+manutenção no+momento não+autorizad* desconhecid* não+há falhou falha expirou desativad* necessári* ocorreu
         not+found not+available no+longer not+exist not+supported could+not+find could+not couldn't cannot moved verschoben déplacé* movid* unable+to too+many went+wrong timed+out not+be+found not+load turned+off switched+off reached+your
         nicht+gefunden nicht+verfügbar konnte+nicht konnten+nicht kann+nicht existiert+nicht nicht+mehr nicht+erreichbar muss+aktiviert n'est+pas n'existe impossible+de pas+pu no+encontrad* no+disponible no+se+pudo no+existe no+se+encontr* no+está não+encontrad* não+foi não+existe não+aceita não+está não+disponível must+be+enabled is+down no+captions no+subtitles no+results no+data no+connection no+access not+allowed not+authorized not+respond not+responding not+valid access+violation""",
     "ask": """please bitte veuillez enable activate allow reload refresh retry verify click accept disable upgrade reconnect restart contact install needs+scripts turn+on switch+on try+again log+in sign+in check+back aktivieren einschalten laden neu aktualisieren versuchen anmelden+um melden+sie anmelden melden fortzufahren fortfahren warten bestätigen wiederholen prüfen überprüfen installieren activer activez autoriser autorisez recharger rechargez actualiser actualisez réessayer réessayez connecter vérifier vérifiez patienter patientez reconnectez désactivez désactiver installez contactez cliquez connectez
-        por+favor habilite habilitar active activar permita recargue recargar actualice inténtelo intente vuelva inicie verifique espere desactive instale contacte conéctese cargue pulse reintente ative ativar recarregue recarregar atualize tente aguarde desative instale contate clique conecte carregue to+continue para+continuar pour+continuer""",
+        por+favor habilite habilitar active activar permita recargue recargar actualice inténtelo intente vuelva inicie verifique espere desactive instale contacte conéctese cargue pulse reintente ative ativar recarregue recarregar atualize tente aguarde desative instale contate clique conecte carregue conectar to+continue para+continuar pour+continuer""",
     "runs": """loading redirecting checking verifying connecting fetching rendering processing buffering wird+geladen werden+geladen chargement cargando carregando while+we""",
-    "stand": """placeholder platzhalter* dummy sample example+text beispieltext beispiel ejemplo exemplo replace insert enter type add your here pending provisional provisoire* provisori* provisóri* folgt à+venir eingeben einfügen hier goes tbd todo escriba inserte ingrese aquí saisissez insérez ici insira digite escreva aqui replace+me""",
-    "text": """text texte texto textos caption captions subtitle subtitles untertitel* sous-titre* subtítulo* legenda legendas line lines translation übersetzung traduction traducción tradução title titel titre título name cue dialogue""",
+    "stand": """placeholder platzhalter* dummy sample example+text beispieltext beispiel ejemplo exemplo replace insert enter type add your here pending provisional pendiente pendente ausstehend provisoire* provisori* provisóri* folgt à+venir eingeben einfügen hier goes tbd todo escriba inserte ingrese aquí saisissez insérez ici insira digite escreva aqui replace+me""",
+    "text": """text platzhaltertext texte texto textos caption captions subtitle subtitles untertitel* sous-titre* subtítulo* legenda legendas line lines translation übersetzung traduction traducción tradução title titel titre título name cue dialogue""",
     "plain": """the this that a an of in on for to your you we is are was were has have been be at by and or it from with as one two three before after later available verfügbar view display anzeigen now in der die das diese dieser dieses den dem ihr ihre ihren sie ist sind wurde werden sein am im um zu und oder mehr derzeit mit votre vos le la les cette ce ces est une un du de des dans et ou au aux pas n'a disponible su sus el los las esta este ha en y o que se al del una por sua seu seus o a os as na no um uma em e ou do da está foi ao disponível""",
 }
 #: The usual words of filler text in mock Latin.
@@ -150,6 +150,8 @@ def _says(text: str, f: dict[str, int]) -> bool:
     things = 2 * min(2, f["own"]) + min(3, f["thing"]) + (bool(f["wrong"]) and "<*>" in text) + bool(_CLASS.search(text))
     if (things and acts or f["own"] >= 2 and n <= 6) and not f["other"]:
         return True  # nothing but such words
+    if things and acts and f["other"] == 1 and n <= 9 and not _SITE.search(text):
+        return True  # a single other word: what is asked of or wrong with the thing
     if things and (program and f["other"] < n / 2 or not f["other"] and _CODE.search(text)):
         return True
     if _SITE.search(text) and not (f["wrong"] or f["runs"]):
