@@ -185,3 +185,13 @@ def sitemap_pages(documents: DataFrame, url: str, body: str, roots: list[str], w
 def json_rows(df: DataFrame, path: str) -> None:
     """Rows as lines of JSON, nulls written out."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def market_rows(payloads: DataFrame, key: str, body: str, items: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, fields) of the results pages of a marketplace: ``items`` is the path of the list, ``fields`` gives each column's path in an item and type.
+
+    Pages and items are variants, so sources differ by paths only; what is missing or of another type is null, and a page that
+    cannot be read has no rows.
+    """
+    v = payloads.select(F.col(key), F.try_variant_get(F.try_parse_json(body), items, "array<variant>").alias("_all")).select(key, F.explode("_all").alias("_one"))
+    return v.select(key, *[F.try_variant_get("_one", path, kind).alias(name) for name, (path, kind) in fields.items()])

@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from quarrion.functions.urls import slug_parts
-from quarrion.operators import dealers, inventory, linkage, search, status, upsert
-from quarrion.sources import captured, pages
+from quarrion.operators import dealers, discovery, inventory, linkage, search, status, upsert
+from quarrion.sources import captured, pages, provider
 
 V = "1HGCM82633A004352"
 
@@ -98,3 +98,27 @@ def test_status(spark):
     now = spark.createDataFrame([(1, 5.0, 3, "a")], "website int, distance_mi double, last_seen int, name string")
     batch = spark.createDataFrame([(1, None, 9, "b"), (2, 1.0, 9, "c")], "website int, distance_mi double, last_seen int, name string")
     assert {tuple(r) for r in upsert.upsert(now, batch, "website", [], ["distance_mi", "last_seen"]).collect()} == {(1, None, 9, "a", False), (2, 1.0, 9, "c", True)}
+
+
+def test_market_rows(spark):
+    body = json.dumps({"data": {"hits": [{"vin": V, "price": {"amount": 9000}, "year": "2019"}, {"vin": 5, "price": None}, "odd"]}})
+    df = spark.createDataFrame([(1, body), (2, "{broken"), (3, None), (4, "[]")], "id int, body string")
+    got = [tuple(r) for r in captured.market_rows(df, "id", "body", "$.data.hits", {"vin": ("$.vin", "string"), "price": ("$.price.amount", "int"), "year": ("$.year", "int")}).collect()]
+    assert got == [(1, V, 9000, 2019), (1, "5", None, None), (1, None, None, None)]
+
+
+def test_provider_and_discovery(spark, tmp_path):
+    """A provider's folder read as a data source, merged with a registry, matched and placed; what was found again adds nothing."""
+    (tmp_path / "a.json").write_text(json.dumps({"id": 1, "name": "Acme Motors", "zip": "70001", "website": "https://acme.test", "phone": 5}) + "\n{broken\n[]\n" + json.dumps({"id": 2, "name": None, "zip": "70009"}) + "\n")
+    (tmp_path / "b.json").write_bytes(b"\xff\xfe")
+    provider.register(spark)
+    found = spark.read.format("candidates").option("source", "osm").load(str(tmp_path))
+    assert {(r.key, r.name, r.phone) for r in found.collect()} == {("osm:1", "Acme Motors", "5"), ("osm:2", None, None)}
+    assert spark.read.format("candidates").load(str(tmp_path / "missing")).count() == 0
+    registry = spark.createDataFrame([("registry:7", "registry", "ACME MOTORS LLC", "1 Main", "Dunton", "TX", "70001-5", None, None), ("registry:8", "registry", "Far Cars", "2 Main", "Far", "TX", "79999", None, None), ("registry:9", "registry", "New Cars", "3 Main", "Dunton", "TX", "70001", None, None)], provider.SCHEMA)
+    zips = spark.createDataFrame([("70001", 30.0, -95.0), ("70009", 30.1, -95.0), ("79999", 40.0, -95.0)], "zip string, lat double, lng double")
+    known = spark.createDataFrame([(4, "Old name", "00000", "http://www.acme.test/x")], "id long, name string, zip string, website string")
+    run = lambda dealers_: {r.root: (r.name, r.address, r.website, r.dealer, r.is_new) for r in discovery.discovered({"osm": found, "registry": registry}, dealers_, zips, {"osm": 0}, "registry", 30.0, -95.0, 50).collect()}
+    assert run(known) == {"osm:1": ("ACME MOTORS LLC", "1 Main", "https://acme.test", 4, False), "osm:2": ("Unnamed dealer (candidate:osm:2)", None, None, None, True), "registry:9": ("New Cars", "3 Main", None, None, True)}
+    again = known.unionByName(spark.createDataFrame([(5, "New Cars", "70001", None)], known.schema))
+    assert not run(again)["registry:9"][4] and run(known.limit(0))["osm:1"][4]
