@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from quarrion.functions import normalize as N
 from quarrion.functions.geo import miles_sql
 from quarrion.functions.similarity import ratio_sql, sorted_sql, token_set_sql
-from quarrion.operators import dealers, dedup, geojoin, inventory, kpi, linkage, search, status, upsert
+from quarrion.operators import dealers, dedup, discovery, geojoin, inventory, kpi, linkage, search, status, upsert
 from quarrion.plans.reference import ORIGIN
 from quarrion.session import table as t
 from quarrion.sources import pages
@@ -227,15 +227,30 @@ def _(s, d):
     return dealers.name_pairs(_candidates(s, d))
 
 
-@query("g5_merged", "WITH RECURSIVE " + _CANDIDATES.lstrip() + """,
+_MERGED = _CANDIDATES.lstrip() + """,
 e0 AS (SELECT a, b FROM pairs UNION SELECT min(key) OVER (PARTITION BY host), key FROM cand WHERE host <> ''), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
 reach AS (SELECT a AS id, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id WHERE reach.r < e.b), part AS (SELECT id, min(r) AS root FROM reach GROUP BY id),
-w AS (SELECT coalesce(root, key) AS root, cand.*, CASE source WHEN 'registry' THEN 0 ELSE 1 END AS official, CASE source WHEN 'osm' THEN 0 WHEN 'directory' THEN 1 ELSE 2 END AS pos FROM cand LEFT JOIN part ON id = key)
-SELECT root, count(*) AS n, """ + ", ".join(f"(list({c} ORDER BY official, pos, key) FILTER (WHERE trim(coalesce({c}, '')) <> ''))[1] AS {c}" for c in ("name", "address", "city", "state", "zip", "phone")) + ", (list(website ORDER BY 1 - official, pos, key) FILTER (WHERE trim(coalesce(website, '')) <> ''))[1] AS website FROM w GROUP BY root")
+w AS (SELECT coalesce(root, key) AS root, cand.*, CASE source WHEN 'registry' THEN 0 ELSE 1 END AS official, CASE source WHEN 'osm' THEN 0 WHEN 'directory' THEN 1 ELSE 2 END AS pos FROM cand LEFT JOIN part ON id = key),
+mg AS MATERIALIZED (SELECT root, count(*) AS n, """ + ", ".join(f"(list({c} ORDER BY official, pos, key) FILTER (WHERE trim(coalesce({c}, '')) <> ''))[1] AS {c}" for c in ("name", "address", "city", "state", "zip", "phone")) + ", (list(website ORDER BY 1 - official, pos, key) FILTER (WHERE trim(coalesce(website, '')) <> ''))[1] AS website FROM w GROUP BY root)"
+
+
+@query("g5_merged", f"WITH RECURSIVE {_MERGED} SELECT * FROM mg")
 def _(s, d):
     return dealers.merged(_candidates(s, d), {"osm": 0, "directory": 1}, "registry")
 
 
+_MGNEAR = miles_sql(f"SELECT mg.*, z.lat, z.lng, {ORIGIN[0]}::DOUBLE AS a, {ORIGIN[1]}::DOUBLE AS b FROM mg JOIN zip_coords z ON z.zip = left(trim(mg.zip), 5)", "lat", "lng", "a", "b")
+
+
+@query("g9_discovered", f"""WITH RECURSIVE {_MERGED},
+nr AS (SELECT *, {HOST.format("website")} AS host, {_NAME} AS norm, {_ZIP5} AS zip5 FROM ({_MGNEAR}) WHERE miles <= 120), dl AS (SELECT id, {HOST.format("website")} AS host, {_NAME} AS norm, {_ZIP5} AS zip5 FROM dealerships),
+da AS (SELECT host, min(id) AS k FROM dl WHERE host <> '' GROUP BY 1), dn AS (SELECT norm, zip5, min(id) AS k FROM dl WHERE norm <> '' AND zip5 <> '' GROUP BY 1, 2)
+SELECT root, coalesce(nullif(trim(name), ''), 'Unnamed dealer (candidate:' || root || ')') AS name, round(miles, 1) AS distance_mi, coalesce(da.k, dn.k) AS dealer, coalesce(da.k, dn.k) IS NULL AS is_new FROM nr LEFT JOIN da USING (host) LEFT JOIN dn ON dn.norm = nr.norm AND dn.zip5 = nr.zip5""")
+def _(s, d):
+    every = _candidates(s, d)
+    return discovery.discovered({"all": every}, t(s, d, "dealerships"), t(s, d, "zip_coords"), {"osm": 0, "directory": 1}, "registry", *ORIGIN, 120).select("root", "name", "distance_mi", "dealer", "is_new")
+
+
 # inventory over all deliveries
 
 _ALL = "l AS (SELECT load_no, dealership_id, vin, url FROM listing_snapshots WHERE dealership_id IS NOT NULL), old AS (SELECT load_no + 1 AS load_no, dealership_id, vin, url FROM l), new AS (SELECT * FROM l WHERE load_no > (SELECT min(load_no) FROM l)), rd AS (SELECT DISTINCT load_no, dealership_id FROM new), od AS (SELECT DISTINCT load_no, dealership_id, vin FROM old WHERE coalesce(vin, '') <> ''), nd AS (SELECT DISTINCT load_no, dealership_id, vin FROM new WHERE coalesce(vin, '') <> '')"

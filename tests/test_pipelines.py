@@ -1,9 +1,12 @@
 import itertools
 import json
 import random
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from quarrion import session
 from quarrion.functions.urls import slug_parts
 from quarrion.operators import dealers, discovery, inventory, linkage, search, status, upsert
 from quarrion.sources import captured, pages, provider
@@ -122,3 +125,13 @@ def test_provider_and_discovery(spark, tmp_path):
     assert run(known) == {"osm:1": ("ACME MOTORS LLC", "1 Main", "https://acme.test", 4, False), "osm:2": ("Unnamed dealer (candidate:osm:2)", None, None, None, True), "registry:9": ("New Cars", "3 Main", None, None, True)}
     again = known.unionByName(spark.createDataFrame([(5, "New Cars", "70001", None)], known.schema))
     assert not run(again)["registry:9"][4] and run(known.limit(0))["osm:1"][4]
+
+
+def test_checkpoint_folder_on_a_cluster():
+    """Without the setting a cluster gets an error and not a folder of one machine; with it the named folder is used."""
+    made = []
+    sc = SimpleNamespace(getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://x:7077")
+    fake = lambda named: SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: named))
+    with pytest.raises(ValueError):
+        session.checkpoint_folder(fake(None))
+    assert session.checkpoint_folder(fake("hdfs:///ck")) == "hdfs:///ck" and made == ["hdfs:///ck"]
