@@ -18,8 +18,11 @@ KEYS = {
 }
 #: Fields that only a vehicle has, makes of cars, types of nodes, and how deep a value is walked.
 SIGNALS = ("vehicleIdentificationNumber", "vin", "mileageFromOdometer", "vehicleModelDate", "vehicleTransmission", "vehicleEngine", "bodyType", "driveWheelConfiguration")
-CAR_MAKES = frozenset(m.replace("_", " ") for m in """acura alfa_romeo aston_martin audi bentley bmw buick cadillac chevrolet chevy chrysler dodge ferrari fiat ford genesis gmc honda hummer hyundai infiniti jaguar jeep kia lamborghini land_rover lexus lincoln lotus lucid maserati maybach mazda mclaren mercedes-benz mercedes_benz mercedes mercury mini mitsubishi nissan
-    oldsmobile polestar pontiac porsche ram rivian rolls-royce rolls_royce saab saturn scion smart subaru suzuki tesla toyota volkswagen vw volvo""".split())
+CAR_MAKES = frozenset([
+    "acura", "alfa romeo", "aston martin", "audi", "bentley", "bmw", "buick", "cadillac", "chevrolet", "chevy", "chrysler", "dodge", "ferrari", "fiat", "ford", "genesis", "gmc", "honda", "hummer", "hyundai", "infiniti",
+    "jaguar", "jeep", "kia", "lamborghini", "land rover", "lexus", "lincoln", "lotus", "lucid", "maserati", "maybach", "mazda", "mclaren", "mercedes-benz", "mercedes benz", "mercedes", "mercury", "mini", "mitsubishi", "nissan",
+    "oldsmobile", "polestar", "pontiac", "porsche", "ram", "rivian", "rolls-royce", "rolls royce", "saab", "saturn", "scion", "smart", "subaru", "suzuki", "tesla", "toyota", "volkswagen", "vw", "volvo",
+])
 VEHICLES, PRODUCTS = {"Vehicle", "Car"}, {"Product", "IndividualProduct"}
 DEEPEST = 12
 _VIN = re.compile(r"^[A-HJ-NPR-Z0-9]{17}$")
