@@ -19,12 +19,12 @@ FORM = frozenset("llc l.l.c inc lp ltd co corp company corporation the of at wel
 #: Words of the trade; a name without them is still the same name.
 TRADE = frozenset("auto autos automotive automobile car cars truck trucks motor motors mtrs used preowned pre owned sales mart plaza center centre group imports wholesale dealership vehicles".split())
 #: Weights of the evidence, as the logarithm of how much more likely it is among records of one dealership.
-WEIGHTS = {"phone": 6.0, "no_phone": -3.0, "page": 5.0, "host": 2.5, "other_branch": -6.0, "other_host": -2.0, "address": 3.0, "other_address": -1.5, "name": 3.5, "near_name": 2.0, "other_name": -3.0, "legal_name": -0.5, "nothing_against": 1.5}
+WEIGHTS = {"phone": 6.0, "no_phone": -3.0, "page": 5.0, "host": 2.5, "other_branch": -6.0, "other_host": -2.0, "address": 3.0, "other_address": -1.5, "name": 3.5, "near_name": 2.0, "other_name": -3.0, "legal_name": -0.5, "far_name": -1.5, "nothing_against": 1.5}
 #: Confidence from which two records are one dealership.
 SURE = 0.8
 #: Evidence without the phone at which the weights alone give even odds, and labelled cases that these odds count for.
 EVEN, PRIOR = 2.5, 4.0
-#: Nearest places of a record without a stated one in which its name is searched; phone, page and address are searched in all.
+#: Nearest places of a record without a stated one in which a name has its full weight; farther off only beside a phone, page or address.
 NAMED = 3
 
 
@@ -113,11 +113,11 @@ def encoded(rows: DataFrame, zips: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                # a city without a state is the near one of that name; without either, all near places are looked at
+                # a city without a state is each near one of that name; without either, all near places are looked at
                 near = r["near"] or []
                 said = (r["place"] or "").split("|")[0] if r["city"] or r["zip"] else ""
                 whole = said and not r["place"].endswith("|")
-                places = [r["place"]] if whole else [p for p in near if said and distance(said, p.split("|")[0]) <= 1][:1] or near or ([r["place"]] if r["place"] else [])
+                places = [r["place"]] if whole else [p for p in near if said and distance(said, p.split("|")[0]) <= 1] or near or ([r["place"]] if r["place"] else [])
                 cities = [p.split("|")[0] for p in places]
                 core, trade = name_parts(r["name"], cities)
                 core2, trade2 = name_parts(r["dba"], cities) if r["dba"] and r["dba"].strip() else ("", "")
@@ -148,8 +148,8 @@ def close_pairs(rows: DataFrame) -> DataFrame:
 
     Multi-index Hamming search: every view's vector is entered under the hash of place, view and a key, a key being each word of more
     than SPARSE bits and each two of the others together; by the pigeonhole principle two words of such a pair agree, so
-    none is missed (most that are one bit farther apart are met as well and kept), and no key is an empty word that a third of a place's records would share. Places are in order of nearness, and only the
-    first NAMED take names: farther off an equal name alone is chance, and what else speaks for a pair has a view. Pairs that meet are held against the bound
+    none is missed (most that are one bit farther apart are met as well and kept), and no key is an empty word that a third of a place's records would share. A record without a stated place
+    is entered with every view in all of its places; what a name is worth in a far one is decided by its weight. Pairs that meet are held against the bound
     inside the join. A frequent word is a skewed key of that join, which adaptive execution splits.
     """
     exact = lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit(1), c).alias("y"))
@@ -158,7 +158,7 @@ def close_pairs(rows: DataFrame) -> DataFrame:
         ("address", F.col("number") != "", F.struct(F.col("a1").alias("x"), F.col("a2").alias("y"))), ("phone", F.col("phone") != "", exact("phone")), ("page", F.col("page") != "", exact("page")),
     ]
     each = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(n).alias("view"), v.alias("v"))) for n, there, v in views]))
-    flat = rows.select("key", "source", F.posexplode("places").alias("rank", "place"), each.alias("views")).select("key", "source", "rank", "place", F.explode("views").alias("view")).where((F.col("rank") < NAMED) | (F.col("view.view") != "name")).select("key", "source", "place", "view.view", "view.v.x", "view.v.y")
+    flat = rows.select("key", "source", F.explode("places").alias("place"), each.alias("views")).select("key", "source", "place", F.explode("views").alias("view")).select("key", "source", "place", "view.view", "view.v.x", "view.v.y")
     words = F.transform(F.array(*_words(F.col("x"), F.col("y"))), lambda w, i: F.struct(i.alias("i"), w.alias("w"), (F.bit_count(w) > SPARSE).alias("full")))
     full, rest = F.filter("words", lambda w: w["full"]), F.filter("words", lambda w: ~w["full"])
     alone = F.transform(full, lambda w: F.xxhash64(w["i"], w["w"]))
@@ -179,9 +179,10 @@ def _dice(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
 
 
 def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs with ``rest`` (weighted evidence without the phone), ``phone`` (1 equal, 0 unknown, -1 different) and ``score``."""
+    """Pairs with ``rest`` (weighted evidence without the phone), ``phone`` (1 equal, 0 unknown, -1 different), ``far`` (nothing but a name
+    in a place that is not among the nearest NAMED) and ``score``."""
     cols = [c for c in rows.columns if c not in ("places",)]
-    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in cols])
+    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in cols], F.slice("places", 1, NAMED).alias(f"nearest_{s}"))
     j = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
     A, B = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     w = {k: F.lit(v) for k, v in WEIGHTS.items()}
@@ -199,11 +200,12 @@ def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     address_w = F.when(~placed, zero).when(same, w["address"]).otherwise(w["other_address"])
     phone = F.when((A("phone") == "") | (B("phone") == ""), 0).when(A("phone") == B("phone"), 1).otherwise(-1)
     j = j.withColumns({"name_w": name_w, "page_w": page_w, "address_w": address_w, "phone": phone})
-    alone = F.when((F.col("name_w") == WEIGHTS["name"]) & (F.col("page_w") >= 0) & (F.col("address_w") >= 0) & (F.col("phone") >= 0), w["nothing_against"]).otherwise(zero)
+    j = j.withColumn("far", ~F.arrays_overlap("nearest_a", "nearest_b") & (F.col("name_w") > 0) & (F.col("page_w") <= 0) & (F.col("address_w") <= 0) & (F.col("phone") < 1))
+    alone = F.when(F.col("far"), w["far_name"]).when((F.col("name_w") == WEIGHTS["name"]) & (F.col("page_w") >= 0) & (F.col("address_w") >= 0) & (F.col("phone") >= 0), w["nothing_against"]).otherwise(zero)
     rest = F.col("name_w") + F.col("page_w") + F.col("address_w") + alone
     j = j.withColumn("rest", rest)
     phone_w = F.when(F.col("phone") == 1, w["phone"]).when(F.col("phone") == -1, w["no_phone"]).otherwise(zero)
-    return j.select("key_a", "key_b", "rest", "phone", "name_w", "page_w", "address_w", (F.col("rest") + phone_w).alias("score"))
+    return j.select("key_a", "key_b", "rest", "phone", "name_w", "page_w", "address_w", "far", (F.col("rest") + phone_w).alias("score"))
 
 
 def matched(tables: dict[str, DataFrame], osm: DataFrame, zips: DataFrame) -> DataFrame:
@@ -212,13 +214,14 @@ def matched(tables: dict[str, DataFrame], osm: DataFrame, zips: DataFrame) -> Da
     Confidences are calibrated on the data's own labels: among candidates with two phones the share of equal ones at each
     value of the other evidence (in steps of a half) is the chance that evidence gives, smoothed by PRIOR cases with the odds that the weights
     themselves give, and made to rise with the evidence; an equal or different phone multiplies the odds by its weight.
+    Names in far places are candidates of less evidence but no labels, since one with an equal phone is not far.
     Null or unusable fields are no evidence; records without any place are left out; empty tables give no rows.
     """
     rows = durable(encoded(records(tables, osm, zips), zips))
     pairs = durable(scored(durable(close_pairs(rows)), rows))
     step = F.greatest(F.lit(-8.0), F.least(F.lit(13.0), F.round(F.col("rest") * 2) / 2))
     own = 1 / (1 + F.exp(F.lit(EVEN) - F.col("step")))
-    known = pairs.groupBy(step.alias("step")).agg(F.count_if(F.col("phone") == 1).alias("same"), F.count_if(F.col("phone") != 0).alias("n"))
+    known = pairs.groupBy(step.alias("step")).agg(F.count_if(F.col("phone") == 1).alias("same"), F.count_if((F.col("phone") != 0) & ~F.col("far")).alias("n"))
     chance = known.withColumn("p", (F.col("same") + PRIOR * own) / (F.col("n") + PRIOR))
     # at most 43 steps, whatever the data: between the greatest chance of lesser evidence and the least of greater
     other = chance.select(F.col("step").alias("s2"), F.col("p").alias("p2"))
